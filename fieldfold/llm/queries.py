@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, packing, quality_rules, token_store
+from . import decontaminate, license_scan, packing, quality_rules, repeats, token_store
 from .common import documents, table
 
 
@@ -20,6 +20,20 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), 2)
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.deduplicate(documents(spark, sf_dir), repeats.BYTES)
+    return out.select("doc_id", out.n.alias("n_bytes"), "n_removed", "n_spans", repeats.sha256("kept").alias("kept_sha256"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.deduplicate(documents(spark, sf_dir), repeats.WORDS)
+    return out.select("doc_id", out.n.alias("n_words"), "n_removed", repeats.sha256("kept").alias("kept_sha256"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("doc", "k")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), 1)
 
@@ -34,7 +48,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_store, op6_packing, op8_quality_rules, op9_license_scan)}
+    return {f.__name__: f for f in (op2_token_store, op3_suffix_array_dedup, op6_packing, op7_substring_dedup, op8_quality_rules, op9_license_scan, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

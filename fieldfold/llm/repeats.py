@@ -1,0 +1,191 @@
+"""Exact removal of repeated substrings, over bytes (suffix-array style) or words (level-wise).
+
+A window goes when the same window starts earlier. All windows of a corpus are too many to sort, so both
+operators double their way up from a shorter length and carry on only with what is repeated there:
+
+1. Half-length strings are named by rolling hashes. Of the half-length strings in a window only the least is
+   looked at (winnowing; equal windows pick the same one). Windows with the same pick are a segment. Where a
+   pick is unique in the corpus, so are its windows, and they are done with.
+2. Whole segments that are repeated are ranked next: in a segment whose text (all its windows end to end)
+   stands earlier, every window is repeated. The first of equal segments stands for all of them.
+3. Where one pick has several different segments, their windows are ranked one by one: a window's name is the
+   pair of the names of its halves, at the offset of half a window (one step of prefix doubling), and Spark
+   finds the first position of each pair. Past the threshold length nothing is ranked further.
+
+Rows are pre-aggregated by name before they are shuffled; the joins back are plain sort-merge joins, which
+Spark splits where a name is hot. Between the steps only positions are kept, as tables in the shared folder.
+
+Defined cases: a null or empty text has no windows; a null doc_id comes before all others; rows with equal
+doc_id count as one document at the same positions, so identical rows are each other's equals and neither is
+removed for the other; an empty table gives no rows; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import kernel
+from .common import doc_key, drop, materialise, text_of
+
+
+@dataclass(frozen=True)
+class Spec:
+    """kind: "bytes" or "space" (words between blanks); window: symbols that must be repeated together."""
+
+    kind: str
+    window: int
+
+    @property
+    def half(self) -> int:
+        return self.window // 2
+
+
+BYTES, WORDS = Spec("bytes", 100), Spec("space", 20)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, doc, k, text: k tells rows with one doc_id apart, and is 0 where all ids differ."""
+    twice = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    text = text_of()
+    return docs.select("doc_id", doc_key().alias("doc"), (F.xxhash64(text) if twice else F.lit(0).cast("long")).alias("k"), text.alias("text"))
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.uint64, copy=False).view(np.int64))
+
+
+def _segments(spec: Spec) -> Callable:
+    names = ["h", "x", "doc", "k", "st", "ln"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, k = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for row, _end, symbols, at in kernel.stream(b.column(2), spec.kind):
+                n = len(symbols)
+                if n < spec.window:
+                    continue
+                hashes = kernel.Hashes(symbols)
+                grams = hashes.all(spec.half)
+                pick = kernel.winnow(grams, spec.window - spec.half + 1)
+                whole = np.flatnonzero(kernel.windows(at, spec.window, n))
+                if not len(whole):
+                    continue
+                pick = pick[whole]
+                cut = np.flatnonzero((np.diff(pick) != 0) | (np.diff(whole) != 1)) + 1
+                first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(whole)]]) - 1
+                start, end = whole[first], whole[last]
+                text = hashes.at(start, end - start + spec.window)
+                owner = np.searchsorted(at, start, side="right") - 1
+                yield pa.RecordBatch.from_arrays([_signed(grams[pick[first]]), _signed(text), pa.array(doc[row + owner]), pa.array(k[row + owner]), pa.array((start - at[owner]).astype(np.int32)), pa.array((end - start + 1).astype(np.int32))], names)
+
+    return run
+
+
+def _ints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a list column."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False), offsets
+
+
+def _windows(spec: Spec) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, k = b.column(0).to_numpy(), b.column(1).to_numpy()
+            values, offsets = _ints(b.column(3))
+            for row, end, symbols, at in kernel.stream(b.column(2), spec.kind):
+                packed = values[offsets[row] : offsets[end]]
+                owner = np.repeat(np.arange(row, end), np.diff(offsets[row : end + 1]))
+                start, n = packed >> 32, packed & 0xFFFFFFFF
+                which = np.repeat(np.arange(len(packed)), n)
+                off = start[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                owner = owner[which]
+                place = at[owner - row] + off
+                hashes = kernel.Hashes(symbols)
+                for i in range(0, len(place), 200_000):
+                    j = slice(i, i + 200_000)
+                    yield pa.RecordBatch.from_arrays([_signed(hashes.at(place[j], spec.half)), _signed(hashes.at(place[j] + spec.half, spec.window - spec.half)), pa.array(doc[owner[j]]), pa.array(k[owner[j]]), pa.array(off[j].astype(np.int32))], ["n1", "n2", "doc", "k", "off"])
+
+    return run
+
+
+def find(docs: DataFrame, spec: Spec) -> DataFrame:
+    """doc_id, doc, k, text, segments, places: the repeated windows of each document, as runs (first window << 32 | number of
+    windows) and as single windows; null where there are none."""
+    base = keyed(docs)
+    segments = base.select("doc", "k", "text").mapInArrow(_segments(spec), "h long, x long, doc long, k long, st int, ln int")
+    repeated = segments.groupBy("h").count().where("count > 1").select("h")
+    segments = materialise(segments.join(repeated, "h"), "segments")
+
+    texts = segments.groupBy("h", "x").agg(F.min(F.struct("doc", "st")).alias("f"))
+    several = texts.groupBy("h").count().where("count > 1").select("h", F.lit(True).alias("several"))
+    texts = texts.join(several, "h", "left")
+    here = F.struct("doc", "st")
+    run = F.shiftleft(F.col("st").cast("long"), 32) + F.col("ln")
+    marked = segments.join(texts, ["h", "x"]).select("doc", "k", F.when(here > F.col("f"), run).alias("later"), F.when((here <= F.col("f")) & F.col("several"), run).alias("open"))
+    marked = marked.where("later is not null or open is not null").groupBy("doc", "k").agg(F.collect_list("later").alias("segments"), F.collect_list("open").alias("open"))
+    marked = materialise(marked, "marked")
+    drop(segments)
+
+    todo = marked.where(F.size("open") > 0).select("doc", "k", "open")
+    singles = base.select("doc", "k", "text").join(todo, ["doc", "k"]).select("doc", "k", "text", "open").mapInArrow(_windows(spec), "n1 long, n2 long, doc long, k long, off int")
+    first = materialise(singles.groupBy("n1", "n2").agg(F.min(F.struct("doc", "off")).alias("f"), F.count("*").alias("n")).where("n > 1").select("n1", "n2", "f"), "first")
+    later = singles.join(first, ["n1", "n2"]).where(F.struct("doc", "off") > F.col("f")).groupBy("doc", "k").agg(F.collect_list("off").alias("places"))
+    later = materialise(later, "later")
+    drop(first)
+    return base.join(marked.select("doc", "k", "segments"), ["doc", "k"], "left").join(later, ["doc", "k"], "left").select("doc_id", "doc", "k", "text", "segments", "places")
+
+
+def removed_mask(n: int, window: int, segments, places) -> np.ndarray:
+    step = np.zeros(n + 1, np.int64)
+    if segments is not None and len(segments):
+        start, count = segments >> 32, segments & 0xFFFFFFFF
+        np.add.at(step, start, 1)
+        np.add.at(step, start + count - 1 + window, -1)
+    if places is not None and len(places):
+        np.add.at(step, places, 1)
+        np.add.at(step, places.astype(np.int64) + window, -1)
+    return np.cumsum(step[:-1]) > 0
+
+
+def remove(found: DataFrame, spec: Spec) -> DataFrame:
+    """doc_id, n (symbols), n_removed, n_spans, kept (binary: what is left, words joined by one blank)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            lists = [(*_ints(b.column(i)), b.column(i).is_null().to_numpy(zero_copy_only=False)) for i in (2, 3)]
+            for i, (doc_id, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                data = text.encode()
+                parts = data.split() if spec.kind == "space" else data
+                segments, places = (None if null[i] else values[offsets[i] : offsets[i + 1]] for values, offsets, null in lists)
+                if segments is None and places is None:
+                    out.append((doc_id, len(parts), 0, 0, b" ".join(parts) if spec.kind == "space" else data))
+                    continue
+                gone = removed_mask(len(parts), spec.window, segments, places)
+                runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+                kept = b" ".join([parts[j] for j in np.flatnonzero(~gone)]) if spec.kind == "space" else np.frombuffer(data, np.uint8)[~gone].tobytes()
+                out.append((doc_id, len(parts), int(gone.sum()), runs, kept))
+            if out:
+                types = [pa.int64()] * 4 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n", "n_removed", "n_spans", "kept"])
+
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "segments", "places").mapInArrow(run, "doc_id long, n long, n_removed long, n_spans long, kept binary")
+
+
+def deduplicate(docs: DataFrame, spec: Spec) -> DataFrame:
+    return remove(find(docs, spec), spec)
+
+
+def sha256(column: str):
+    return F.sha2(F.col(column), 256)
+
+
+def digest(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
