@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, packing, quality_rules, repeats, token_store
+from . import decontaminate, license_scan, packing, quality_rules, repeats, sharding, simhash, token_store
 from .common import documents, table
 
 
@@ -16,6 +16,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Byte limit of a shard in op1: small enough for the smallest tables to split as well.
+SHARD_BYTES = 1 << 20
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(documents(spark, sf_dir).select("doc_id", "text"), SHARD_BYTES).drop("text")
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), 2)
 
@@ -25,6 +33,10 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", out.n.alias("n_bytes"), "n_removed", "n_spans", repeats.sha256("kept").alias("kept_sha256"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(documents(spark, sf_dir))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.deduplicate(documents(spark, sf_dir), repeats.WORDS)
     return out.select("doc_id", out.n.alias("n_words"), "n_removed", repeats.sha256("kept").alias("kept_sha256"))
@@ -48,7 +60,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_store, op3_suffix_array_dedup, op6_packing, op7_substring_dedup, op8_quality_rules, op9_license_scan, op10_decontamination)}
+    return {f.__name__: f for f in (op1_sharding, op2_token_store, op3_suffix_array_dedup, op4_simhash, op6_packing, op7_substring_dedup, op8_quality_rules, op9_license_scan, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
