@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldfold.llm import packing, quality_rules
+from fieldfold.llm import decontaminate, packing, pii, quality_rules, simhash
 from fieldfold.llm.common import documents, materialise, table
 from fieldfold.llm.queries import tokenizer_path
 
@@ -14,12 +14,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.keep_good(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is masked."""
+    return pii.mask(docs)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of full sequences, in curve order."""
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), 1)
 
 
-STAGES = [("quality_rules", quality_stage), ("packing", packing_stage)]
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("simhash", near_duplicates_stage),
+    ("decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
 
 #: Learned rules, fingerprints and a trained tagger are beyond SQL; tests hold the rows against brute force.
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, packing, quality_rules, repeats, sharding, simhash, token_store
+from . import decontaminate, license_scan, packing, pii, quality_rules, repeats, sharding, simhash, token_store
 from .common import documents, table
 
 
@@ -37,6 +37,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(documents(spark, sf_dir))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.deduplicate(documents(spark, sf_dir), repeats.WORDS)
     return out.select("doc_id", out.n.alias("n_words"), "n_removed", repeats.sha256("kept").alias("kept_sha256"))
@@ -60,7 +64,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_token_store, op3_suffix_array_dedup, op4_simhash, op6_packing, op7_substring_dedup, op8_quality_rules, op9_license_scan, op10_decontamination)}
+    return {f.__name__: f for f in (op1_sharding, op2_token_store, op3_suffix_array_dedup, op4_simhash, op5_pii, op6_packing, op7_substring_dedup, op8_quality_rules, op9_license_scan, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
