@@ -8,23 +8,35 @@ the tokenizers library either way.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
+from functools import lru_cache
 
-import numpy as np
-
-#: Chunks kept; beyond, the cache starts anew, so memory is bounded.
-CACHE = 200_000
+#: Chunks kept; beyond, the cache starts anew, so memory is bounded (about 150 bytes a chunk).
+CACHE = 1_000_000
 _RUN = re.compile(r"\s\s")
+#: Marks that are a token of their own after a letter (no apostrophe: it may begin a contraction).
+_MARKS = ".,;:!?()[]|*#$%&-"
 
 
 class _Chunks(dict):
-    def __init__(self, encode):
-        self.encode = encode
+    """Ids by chunk. A chunk that ends in marks after a letter is the chunk without them and the marks, as both
+    vocabularies cut there; with lower, A-Z and Latin letters are lowered first, as the normaliser does."""
+
+    def __init__(self, encode, lower: bool):
+        self.encode, self.lower = encode, lower
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        got = self.encode(chunk)
-        if len(chunk) <= 64:
+        base = chunk.rstrip(_MARKS)
+        if len(base) < len(chunk) and base and base[-1].isalpha():
+            got = self[base] + self[chunk[len(base) :]]
+        elif self.lower and not chunk.islower() and max(chunk) < "\u0100" and (low := chunk.lower()) != chunk:
+            got = self[low]
+        else:
+            got = self.encode(chunk)
+        if len(chunk) <= 48:
             self[chunk] = got
         return got
 
@@ -39,11 +51,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.leading = leading
-        self.chunks = _Chunks(self.whole)
+        self.chunks = _Chunks(self.whole, not leading)
         self.newline = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -59,3 +74,9 @@ class Encoder:
             first, *rest = line.split(" ")
             out.append(b"".join([c[first] if first else b"", *[c[" " + x] for x in rest]]))
         return self.newline.join(out)
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, leading: bool) -> Encoder:
+    """The process's encoder for a file: a Python worker keeps it, and its cache, from task to task."""
+    return Encoder(path, leading)

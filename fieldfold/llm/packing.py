@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .encode import Encoder
+from .encode import encoder as encoder_of
 
 SEQUENCE = 2048
 DIMENSIONS, BITS = 4, 8
@@ -90,7 +90,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENCE)
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = Encoder(tokenizer, True), struct.pack("<I", end_id)
+        encoder, end = encoder_of(tokenizer, True), struct.pack("<I", end_id)
         number = TaskContext.get().partitionId() << 40
         done: list[tuple] = []
         open_pieces: list[tuple] = []  # of the sequence being filled, with their ids

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_path
-from .encode import Encoder
+from .encode import encoder as encoder_of
 
 FRAME_BYTES = 1 << 18
 INDEX_MAGIC, TABLE_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -123,7 +123,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, leading: bo
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = Encoder(tokenizer, leading), struct.pack("<I", end_id)
+        encoder, end = encoder_of(tokenizer, leading), struct.pack("<I", end_id)
         part, writer, total = TaskContext.get().partitionId(), None, 0
         path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.zst"
         for batch in batches:
