@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,8 +36,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of queries that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for wait in (0.3, 0.7):  # the cleaner works beside us: what the first round finds goes during the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 #: Symbols handled at once; a longer document is a piece of its own.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 _powers = [np.ones(1, U), np.ones(1, U)]
 

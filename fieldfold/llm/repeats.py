@@ -120,8 +120,10 @@ def find(docs: DataFrame, spec: Spec) -> DataFrame:
     windows) and as single windows; null where there are none."""
     base = keyed(docs)
     segments = base.select("doc", "k", "text").mapInArrow(_segments(spec), "h long, x long, doc long, k long, st int, ln int")
-    repeated = segments.groupBy("h").count().where("count > 1").select("h")
+    # a table of its own: the join then deals both sides itself, and Spark can split a hot h
+    repeated = materialise(segments.groupBy("h").count().where("count > 1").select("h"), "repeated")
     segments = materialise(segments.join(repeated, "h"), "segments")
+    drop(repeated)
 
     texts = segments.groupBy("h", "x").agg(F.min(F.struct("doc", "st")).alias("f"))
     several = texts.groupBy("h").count().where("count > 1").select("h", F.lit(True).alias("several"))
