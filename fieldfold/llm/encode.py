@@ -12,8 +12,8 @@ import sys
 from array import array
 from functools import lru_cache
 
-#: Chunks kept; beyond, the cache starts anew, so memory is bounded (about 150 bytes a chunk).
-CACHE = 1_000_000
+#: Chunks in a generation of the cache; there are two at most, so memory is bounded (about 250 bytes a chunk).
+CACHE = 300_000
 _RUN = re.compile(r"\s\s")
 #: Marks that are a token of their own after a letter (no apostrophe: it may begin a contraction).
 _MARKS = ".,;:!?()[]|*#$%&-"
@@ -21,22 +21,28 @@ _MARKS = ".,;:!?()[]|*#$%&-"
 
 class _Chunks(dict):
     """Ids by chunk. A chunk that ends in marks after a letter is the chunk without them and the marks, as both
-    vocabularies cut there; with lower, A-Z and Latin letters are lowered first, as the normaliser does."""
+    vocabularies cut there; with lower, A-Z and Latin letters are lowered first, as the normaliser does. A full
+    generation becomes the old one; what is asked for again comes back from it."""
 
     def __init__(self, encode, lower: bool):
-        self.encode, self.lower = encode, lower
+        self.encode, self.lower, self.old = encode, lower, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        base = chunk.rstrip(_MARKS)
-        if len(base) < len(chunk) and base and base[-1].isalpha():
-            got = self[base] + self[chunk[len(base) :]]
-        elif self.lower and not chunk.islower() and max(chunk) < "\u0100" and (low := chunk.lower()) != chunk:
-            got = self[low]
-        else:
-            got = self.encode(chunk)
-        if len(chunk) <= 48:
+        got, keep = self.old.get(chunk), True
+        if got is None:
+            base = chunk.rstrip(_MARKS)
+            if len(base) < len(chunk) and base and base[-1].isalpha():
+                keep = base in self  # a variant of a word that is new itself is likely as rare
+                got = self[base] + self[chunk[len(base) :]]
+            elif self.lower and not chunk.islower() and max(chunk) < "\u0100" and (low := chunk.lower()) != chunk:
+                keep = low in self
+                got = self[low]
+            else:
+                got = self.encode(chunk)
+        if keep and len(chunk) <= 32:
+            if len(self) >= CACHE:
+                self.old = dict(self)
+                self.clear()
             self[chunk] = got
         return got
 
@@ -76,6 +82,11 @@ class Encoder:
         return self.newline.join(out)
 
 
+def slices(batch, rows: int = 256):
+    """A batch in parts, so that few texts are Python strings at once."""
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, leading: bool) -> Encoder:
     """The process's encoder for a file: a Python worker keeps it, and its cache, from task to task."""

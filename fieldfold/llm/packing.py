@@ -1,7 +1,7 @@
 """Sequence packing along a space-filling curve.
 
 A document's words are hashed into a sparse vector and projected to a few dimensions; the Hilbert index of
-that point is the sort key, so documents of like words meet. Spark sorts by range of the key; along each range
+that point is the sort key, so documents of like words meet. Documents are dealt out by ranges of the key and sorted; along each range
 the ids of all documents are laid end to end and cut at the sequence length, so sequences are full. What is
 left at the end of a range is cut into powers of two, which need no padding.
 
@@ -22,9 +22,12 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .encode import encoder as encoder_of
+from .encode import slices
 
 SEQUENCE = 2048
 DIMENSIONS, BITS = 4, 8
+#: Documents sampled for the bounds of the ranges, about.
+BOUNDS = 20_000
 #: Buckets that words are hashed to before projection.
 BUCKETS = 1024
 
@@ -81,9 +84,17 @@ def tail_cuts(length: int, sequence: int = SEQUENCE) -> list[int]:
 def pack(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENCE) -> DataFrame:
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, hilbert_key."""
 
+    def place(b: pa.RecordBatch) -> np.ndarray:
+        return keys(b.column(1)) << 31 | b.column(2).to_numpy()
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(place(b))], ["place"])
+
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(keys(b.column(1))), *b.columns], ["key", "doc_id", "text"])
+            at = place(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, at, side="right").astype(np.int32)), pa.array(at), *b.columns[:2]], ["part", "key", "doc_id", "text"])
 
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "hilbert_key")])
 
@@ -116,23 +127,29 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENCE)
             return out
 
         for b in batches:
-            for k, doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids = encoder.encode(text) + end
-                total, at = len(ids) // 4, 0
-                while at < total:
-                    take = min(total - at, sequence - filled)
-                    open_pieces.append((doc, at, ids[4 * at : 4 * (at + take)], total, k))
-                    filled, at = filled + take, at + take
-                    if filled == sequence:
-                        close([sequence])
-                if len(done) >= 10_000:
-                    yield batch()
+            for part_of in slices(b):
+                for place_of, doc, text in zip(*(c.to_pylist() for c in part_of.columns), strict=True):
+                    ids = encoder.encode(text) + end
+                    total, at = len(ids) // 4, 0
+                    while at < total:
+                        take = min(total - at, sequence - filled)
+                        open_pieces.append((doc, at, ids[4 * at : 4 * (at + take)], total, place_of >> 31))
+                        filled, at = filled + take, at + take
+                        if filled == sequence:
+                            close([sequence])
+                    if len(done) >= 10_000:
+                        yield batch()
         close(tail_cuts(filled, sequence))
         if done:
             yield batch()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(key, "key long, doc_id long, text string")
-    # equal keys are told apart by id and text, so that a hot key still splits
-    placed = keyed.repartitionByRange(n, "key", "doc_id", F.xxhash64("text")).sortWithinPartitions("key", "doc_id", F.xxhash64("text"), "text")
+    # a hash of the document stands below the key, so that equal keys (copies) still spread over ranges
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").bitwiseAND(F.lit(0x7FFFFFFF)).alias("tie"))
+    every = max(1, docs.count() // BOUNDS)
+    # the sample only balances the ranges; all rows are keyed and packed once
+    found = rows.where(F.col("tie") % every == 0).limit(4 * BOUNDS).mapInArrow(sampled, "place long").collect()
+    sample = np.sort(np.array([r.place for r in found], np.int64))
+    bounds = sample[(np.arange(1, n) * len(sample)) // n] if len(sample) else sample
+    placed = rows.mapInArrow(key, "part int, key long, doc_id long, text string").repartitionById(n, "part").drop("part").sortWithinPartitions("key", "doc_id", "text")
     return placed.mapInArrow(lay, ", ".join(f"{c} long" for c in schema.names))

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path
 from .encode import encoder as encoder_of
+from .encode import slices
 
 FRAME_BYTES = 1 << 18
 INDEX_MAGIC, TABLE_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -131,10 +132,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, leading: bo
                 fs, inner = _open(path)
                 fs.create_dir(inner.rpartition("/")[0], recursive=True)
                 writer = Writer(fs.open_output_stream(inner, compression=None))
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text) + end
-                total += len(ids) // 4
-                writer.add(doc_id, ids)
+            for part_of in slices(batch):
+                for doc_id, text in zip(part_of.column(0).to_pylist(), part_of.column(1).to_pylist(), strict=True):
+                    ids = encoder.encode(text) + end
+                    total += len(ids) // 4
+                    writer.add(doc_id, ids)
         if writer is not None:
             writer.close()
             writer.sink.close()
