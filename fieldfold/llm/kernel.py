@@ -112,6 +112,13 @@ def word_symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return Hashes(_BYTES[data]).at(starts, ends - starts)
 
 
+def word_bags(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word's bytes in any order: enough for feature vectors, and one sum a byte."""
+    sums = np.zeros(len(data) + 1, U)
+    np.cumsum(_BYTES[data], out=sums[1:])
+    return mix(sums[ends] - sums[starts])
+
+
 def byte_symbols(data: np.ndarray) -> np.ndarray:
     return _BYTES[data]
 

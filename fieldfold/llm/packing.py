@@ -65,8 +65,9 @@ def keys(texts: pa.Array, dimensions: int = DIMENSIONS, bits: int = BITS) -> np.
     """The Hilbert key of each text."""
     axes = np.random.default_rng(11).standard_normal((BUCKETS, dimensions))
     out = np.zeros(len(texts), np.int64)
-    for row, end, symbols, at in kernel.stream(texts, "space"):
-        bucket = (symbols & np.uint64(BUCKETS - 1)).astype(np.int64)
+    for row, end, data, offsets in kernel.pieces(texts):
+        data, starts, ends, at = kernel.word_bounds(data, offsets, "space")
+        bucket = (kernel.word_bags(data, starts, ends) & np.uint64(BUCKETS - 1)).astype(np.int64)
         n = np.diff(at)
         owner = np.repeat(np.arange(end - row), n)
         total = np.stack([np.bincount(owner, axes[bucket, j], end - row) for j in range(dimensions)], 1)
