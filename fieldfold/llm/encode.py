@@ -31,7 +31,7 @@ class _Chunks(dict):
         got, keep = self.old.get(chunk), True
         if got is None:
             base = chunk.rstrip(_MARKS)
-            if len(base) < len(chunk) and base and base[-1].isalpha():
+            if len(base) < len(chunk) and base and base[-1].isalpha() and base[-1] < "\u0100":
                 keep = base in self  # a variant of a word that is new itself is likely as rare
                 got = self[base] + self[chunk[len(base) :]]
             elif self.lower and not chunk.islower() and max(chunk) < "\u0100" and (low := chunk.lower()) != chunk:
