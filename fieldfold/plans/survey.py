@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,17 +31,28 @@ class Result:
     corrections: DataFrame | None
     density: dict
     sync: dict | None
+    chosen: DedupConfig
     metadata: dict = field(default_factory=dict)
 
     def summary(self) -> dict:
         """Counters of the run."""
         n_ground, n_rejected, n_animals = self.ground.count(), self.rejected.count(), self.animals.count()
-        out = {"detections": n_ground + n_rejected, "projected": n_ground, "rejected_detections": n_rejected, "unique_animals": n_animals, "duplicates_removed": n_ground - n_animals,
-               "labels": {r.label: r["count"] for r in self.animals.groupBy("label").count().orderBy("label").collect()}, "epsg": self.utm.epsg, "density": self.density, "sync": self.sync}
-        if self.corrections is not None:
-            c = self.corrections.agg(F.avg(F.hypot("dx_m", "dy_m")).alias("mean_shift_m"), F.max(F.hypot("dx_m", "dy_m")).alias("max_shift_m"), F.avg(F.abs("rotation_deg")).alias("mean_rotation_deg")).first().asDict()
-            out["registration"] = c | {"models": {r.model: r["count"] for r in self.corrections.groupBy("model").count().collect()}}
-        return out
+        keepers = checkpoint(dedup.suppress(self.ground, self.chosen.frame_nms_m))
+        suppressed = keepers.where("idx <> keeper").count()
+        kept = self.ground.join(keepers.where("idx = keeper").select("idx"), "idx", "left_semi")
+        before = dedup.dbscan(kept, self.chosen.eps_m, self.chosen.min_samples, self.chosen.drop_noise).where("cluster is not null").select("cluster").distinct().count()
+        return {
+            "utm_epsg": self.utm.epsg, "input_detections": n_ground + n_rejected, "projected_detections": n_ground, "rejected_detections": n_rejected, "unique_animals": n_animals, "duplicates_removed": n_ground - n_animals,
+            "dbscan_clusters": before, "frame_exclusivity_splits": n_animals - before, "label_counts": {r.label: r["count"] for r in self.animals.groupBy("label").count().orderBy("label").collect()},
+            "registration": self._registration(), "density": self.density | ({"sync": self.sync} if self.sync else {}), "suppressed_duplicate_boxes": suppressed,
+        }
+
+    def _registration(self) -> dict:
+        if self.corrections is None:
+            return {"enabled": False}
+        shift = F.hypot("dx_m", "dy_m")
+        c = self.corrections.agg(F.count("*").alias("frames"), F.round(F.avg(shift), 3).alias("mean_shift_m"), F.round(F.max(shift), 3).alias("max_shift_m"), F.round(F.avg(F.abs("rotation_deg")), 3).alias("mean_abs_rotation_deg")).first().asDict()
+        return {"enabled": True, "models": {r.model: r["count"] for r in self.corrections.groupBy("model").count().collect()}} | c
 
 
 def run(dataset: Dataset, config: DedupConfig | None = None, registration: RegistrationConfig | None = RegistrationConfig(), sync: SyncConfig | None = None, max_range: float = 1000.0, progress: Callable[[str, float], None] | None = None) -> Result:  # noqa: B008
@@ -58,8 +69,6 @@ def run(dataset: Dataset, config: DedupConfig | None = None, registration: Regis
     ground, found = raw, None
     if mode == "dense":
         for radius in (sync.radius_m, 0.6):
-            from dataclasses import replace
-
             ground, found = synchronise(ground, replace(sync, radius_m=radius))
     tell("cluster", 0.0)
     if registration is None:
@@ -68,12 +77,11 @@ def run(dataset: Dataset, config: DedupConfig | None = None, registration: Regis
         ground, clusters, corrections = align.register(ground, chosen, registration)
         if corrections is not None and mode == "dense":
             corrections = align.corrections(raw, ground, corrections.select("frame_id", "model", "n_matches"))
-    tell("cluster", 1.0)
+    tell("align", 1.0)
     animals = dedup.resolve(ground, clusters)
     lon, lat = utm.inverse(F.col("x"), F.col("y"))
     animals = checkpoint(animals.withColumns({"longitude": lon, "latitude": lat}))
-    tell("resolve", 1.0)
-    return Result(utm, dataset.frames, raw, ground, rejected, clusters, animals, corrections, {"mode": mode, "spacing_m": spacing, "eps_m": config.eps_m, "eps_effective_m": chosen.eps_m}, found, dict(dataset.metadata))
+    return Result(utm, dataset.frames, raw, ground, rejected, clusters, animals, corrections, {"mode": mode, "spacing_m": spacing, "eps_m": config.eps_m, "eps_effective_m": chosen.eps_m}, found, chosen, dict(dataset.metadata))
 
 
 def ingest(spark, telemetry: list[str], logs: list[str], options: IngestOptions | None = None, class_names: list[str] | None = None) -> tuple[Dataset, dict]:
