@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DedupConfig, RegistrationConfig
-from .dedup import assign
+from .dedup import assign, is_small
 from .lineage import checkpoint
 
 
@@ -89,13 +89,14 @@ def register(points: DataFrame, config: DedupConfig, registration: RegistrationC
     """(points moved, clusters idx-cluster, corrections of the frames) after all passes; every pass moves all frames at
     once, then clusters anew."""
     raw, now = points, checkpoint(points)
-    clusters = checkpoint(assign(now, config))
+    small = is_small(now)
+    clusters = checkpoint(assign(now, config, small))
     fits = None
     trim = registration.trim_m if registration.trim_m is not None else config.eps_m
     for _ in range(registration.iterations):
         fits = checkpoint(estimate(now, clusters, registration, trim))
         now = checkpoint(move(now, fits))
-        clusters = checkpoint(assign(now, config))
+        clusters = checkpoint(assign(now, config, small))
     return now, clusters, corrections(raw, now, fits) if fits is not None else None
 
 

@@ -11,11 +11,13 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DedupConfig
+from . import local
 from .graph import components
 from .lineage import checkpoint
 from .spatial import range_join, self_pairs
@@ -123,8 +125,18 @@ def split_conflicts(points: DataFrame, clusters: DataFrame, gate: float) -> Data
     return clusters.join(parts, "idx", "left").select("idx", F.coalesce("part", "cluster").alias("cluster"))
 
 
-def assign(points: DataFrame, config: DedupConfig) -> DataFrame:
+#: A survey area of at most so many points is clustered in one task; larger ones by joins.
+ONE_TASK = 300_000
+
+
+def is_small(points: DataFrame) -> bool:
+    return points.limit(ONE_TASK + 1).count() <= ONE_TASK
+
+
+def assign(points: DataFrame, config: DedupConfig, small: bool | None = None) -> DataFrame:
     """idx, cluster: a group label for each point (null: dropped as noise). Suppressed boxes follow their keeper."""
+    if is_small(points) if small is None else small:
+        return _assign_in_task(points, config)
     keepers = checkpoint(suppress(points, config.frame_nms_m)) if config.frame_nms_m > 0 else points.select("idx", F.col("idx").alias("keeper"))
     kept = points.join(keepers.where("idx = keeper").select("idx"), "idx", "left_semi") if config.frame_nms_m > 0 else points
     clusters = dbscan(kept, config.eps_m, config.min_samples, config.drop_noise)
@@ -133,6 +145,20 @@ def assign(points: DataFrame, config: DedupConfig) -> DataFrame:
     return keepers.join(clusters.select(F.col("idx").alias("keeper"), "cluster"), "keeper", "left").select("idx", "cluster")
 
 
+def _assign_in_task(points: DataFrame, config: DedupConfig) -> DataFrame:
+    def run(batches):
+        held = list(batches)
+        if not held:
+            return
+        t = pa.Table.from_batches(held).sort_by("idx")
+        idx = t["idx"].to_numpy()
+        frame = np.asarray(t["frame_id"].combine_chunks().dictionary_encode().indices)
+        found = local.assign(idx, t["x"].to_numpy(), t["y"].to_numpy(), frame, t["confidence"].to_numpy(), config)
+        yield pa.RecordBatch.from_arrays([pa.array(idx), pa.array(found, mask=found < 0)], ["idx", "cluster"])
+
+    return points.select("idx", "x", "y", "frame_id", "confidence").coalesce(1).mapInArrow(run, "idx long, cluster long")
+
+
 def numbered(points: DataFrame, clusters: DataFrame) -> DataFrame:
     """cluster, number (from 1): clusters by mean x, then mean y, then first member."""
     centre = points.select("idx", "x", "y").join(clusters.where("cluster is not null"), "idx").groupBy("cluster").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.min("idx").alias("first"))

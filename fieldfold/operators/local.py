@@ -1,0 +1,88 @@
+"""Clustering of one survey area that fits in a task, over arrays; equal to the distributed form in dedup."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from ..config import DedupConfig
+from .graph import roots
+
+
+def near_pairs(x: np.ndarray, y: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of all pairs within r (inclusive), each once: cells of side r in sorted order, and each point
+    against the runs of its own and four of the neighbouring cells."""
+    if len(x) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    cx, cy = np.floor(x / r).astype(np.int64), np.floor(y / r).astype(np.int64)
+    cx, cy = cx - cx.min(), cy - cy.min() + 1
+    width = int(cy.max()) + 2
+    code = cx * width + cy
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    out_i, out_j = [], []
+    here = np.arange(len(code))
+    for step in (0, 1, width - 1, width, width + 1):
+        lo = here + 1 if step == 0 else np.searchsorted(code, code + step, "left")
+        n = np.maximum(np.searchsorted(code, code + step, "right") - lo, 0)
+        i = np.repeat(here, n)
+        j = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(i))
+        i, j = order[i], order[j]
+        dx, dy = x[i] - x[j], y[i] - y[j]
+        ok = dx * dx + dy * dy <= r * r
+        out_i.append(i[ok])
+        out_j.append(j[ok])
+    i, j = np.concatenate(out_i), np.concatenate(out_j)
+    return np.minimum(i, j), np.maximum(i, j)
+
+
+def labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least position in each position's component."""
+    out = np.arange(n)
+    if len(i):
+        nodes, root = roots(i, j)
+        out[nodes] = root
+    return out
+
+
+def assign(idx: np.ndarray, x: np.ndarray, y: np.ndarray, frame: np.ndarray, confidence: np.ndarray, config: DedupConfig) -> np.ndarray:
+    """The cluster of each point (an idx; -1: noise). Points come in the order of idx."""
+    from .dedup import split_cluster
+
+    n = len(idx)
+    keeper = np.arange(n)
+    if config.frame_nms_m > 0:
+        i, j = near_pairs(x, y, config.frame_nms_m)
+        same = frame[i] == frame[j]
+        group = labels(n, i[same], j[same])
+        best = np.lexsort((np.arange(n), -confidence, group))
+        first = np.concatenate([[True], group[best][1:] != group[best][:-1]]) if n else np.zeros(0, bool)
+        top = np.zeros(n, np.int64)
+        top[group[best][first]] = best[first]
+        keeper = top[group]
+    kept = np.flatnonzero(keeper == np.arange(n))
+    kx, ky = x[kept], y[kept]
+    i, j = near_pairs(kx, ky, config.eps_m)
+    m = len(kept)
+    if config.min_samples <= 1:
+        cluster = labels(m, i, j)
+    else:
+        core = np.bincount(i, minlength=m) + np.bincount(j, minlength=m) + 1 >= config.min_samples
+        both = core[i] & core[j]
+        cluster = labels(m, i[both], j[both])
+        reach = np.full(m, m)
+        for a, b in ((i, j), (j, i)):
+            edge = core[b] & ~core[a]
+            np.minimum.at(reach, a[edge], cluster[b[edge]])
+        cluster = np.where(core, cluster, np.where(reach < m, reach, -1 if config.drop_noise else np.arange(m)))
+    if config.frame_exclusivity and m:
+        by = np.lexsort((frame[kept], cluster))
+        twice = (cluster[by][1:] == cluster[by][:-1]) & (frame[kept][by][1:] == frame[kept][by][:-1])
+        order = np.argsort(cluster, kind="stable")
+        sorted_ = cluster[order]
+        for c in np.unique(cluster[by][1:][twice]):
+            if c >= 0:
+                rows = order[np.searchsorted(sorted_, c) : np.searchsorted(sorted_, c, "right")]
+                cluster[rows] = rows[split_cluster(kx[rows], ky[rows], frame[kept][rows], config.gate)]
+    out = np.full(n, -1, np.int64)
+    out[kept] = np.where(cluster >= 0, idx[kept][np.maximum(cluster, 0)], -1)
+    return out[keeper]

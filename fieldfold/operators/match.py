@@ -122,8 +122,8 @@ def match(detections: DataFrame, telemetry: DataFrame, options: IngestOptions) -
     named = telemetry.where("frame_id is not null").select("track", frame_key(F.col("frame_id")).alias("key"), "seq", "track_order", F.struct(*POSE, "timestamp").alias("s"))
     by_source = det.join(F.broadcast(tracks.select("stem", "track", "numbered")), "stem", "left") if n_tracks <= 100_000 else det.join(tracks.select("stem", "track", "numbered"), "stem", "left")
     # without a source: a single track serves all; of several, a name may still tell
-    only = tracks.limit(1).select(F.col("track").alias("only_track"), F.col("numbered").alias("only_numbered")) if n_tracks == 1 else None
-    pool = by_source.crossJoin(F.broadcast(only)) if only is not None else by_source.withColumns({"only_track": F.lit(None).cast("string"), "only_numbered": F.lit(0).cast("long")})
+    only = tracks.select("track", "numbered").first() if n_tracks == 1 else (None, 0)
+    pool = by_source.withColumns({"only_track": F.lit(only[0]).cast("string"), "only_numbered": F.lit(only[1]).cast("long")})
     pool = pool.withColumns({"track": F.when(F.col("source").isNull(), F.col("only_track")).otherwise(F.col("track")), "numbered": F.when(F.col("source").isNull(), F.col("only_numbered")).otherwise(F.col("numbered"))})
 
     last_named = named.groupBy("track", "key").agg(F.max_by("s", "seq").alias("named"), F.min("track_order").alias("track_order"))

@@ -308,8 +308,9 @@ def cl_cannot_link_split(spark, sf_dir):
     """After the split no group holds a frame twice, and every point has a group."""
     p, c = _clusters(spark, sf_dir)
     s = dedup.split_conflicts(p, c, EPS)
-    bad = p.select("idx", "frame_id").join(s, "idx").groupBy("cluster", "frame_id").count().where("count > 1")
-    return s.agg(((F.count("cluster") == F.count("*")) & (F.count("*") == F.countDistinct("idx"))).alias("partition")).crossJoin(bad.agg(F.count("*").alias("conflicts")))
+    n = p.count()
+    g = p.select("idx", "frame_id").join(s.where("cluster is not null"), "idx").groupBy("cluster", "frame_id").agg(F.count("*").alias("n"))
+    return g.agg((F.sum("n") == n).alias("partition"), F.count_if(F.col("n") > 1).alias("conflicts"))
 
 
 @query(f"""WITH {_POINTS}, n AS (SELECT a.idx, sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM p a JOIN p b ON a.frame_id = b.frame_id AND a.idx <> b.idx GROUP BY a.idx), s AS (SELECT quantile_cont(d, 0.1) AS s FROM n)

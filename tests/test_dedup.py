@@ -100,3 +100,19 @@ def test_components_both_ways(spark, monkeypatch):
     assert {x.node: x.root for x in graph.components(df).collect()} == small
     keep = e[e[:, 0] != e[:, 1]]
     assert small == dict(zip(*(v.tolist() for v in graph.roots(keep[:, 0], keep[:, 1])), strict=True))
+
+
+@pytest.mark.parametrize("config", [{}, {"min_samples": 3}, {"min_samples": 3, "drop_noise": True}, {"frame_exclusivity": False}, {"frame_nms_m": 0.0}, {"eps_m": 0.7, "split_gate_m": 0.4}])
+def test_one_task_equals_joins(spark, config):
+    r = np.random.default_rng(7)
+    places = [tuple(p) for p in np.round(r.random((400, 2)) * 25, 2)]
+    p = ground(spark, places, [f"f{k}" for k in r.integers(0, 9, 400)], None, list(np.round(r.random(400), 1)))
+    c = DedupConfig(**config)
+
+    def groups(df):
+        by = {}
+        for row in df.collect():
+            by.setdefault(row.cluster, set()).add(row.idx)
+        return by.pop(None, set()), sorted(map(sorted, by.values()))
+
+    assert groups(dedup.assign(p, c, True)) == groups(dedup.assign(p, c, False))
