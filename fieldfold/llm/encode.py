@@ -47,6 +47,17 @@ class _Chunks(dict):
         return got
 
 
+def _latin(text: str) -> bool:
+    """Whether lower() does letter by letter what the normaliser does: no letter beyond Latin-1."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """path: a tokenizers JSON file. leading: whether a word's id holds the blank before it (byte-level
     vocabularies), else blanks vanish."""
@@ -59,6 +70,7 @@ class Encoder:
         self.leading = leading
         self.chunks = _Chunks(self.whole, not leading)
         self.newline = self.whole("\n")
+        self.chunks[""] = b""
 
     def whole(self, text: str) -> bytes:
         ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -72,7 +84,9 @@ class Encoder:
             return b""
         c = self.chunks
         if not self.leading:
-            return b"".join([c[x] for x in text.replace("\n", " ").split(" ") if x])
+            if _latin(text):
+                text = text.lower()
+            return b"".join([c[x] for x in text.replace("\n", " ").split(" ")])
         if _RUN.search(text):
             return self.whole(text)
         out = []
