@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, packing, pii, quality_rules, repeats, sharding, simhash, token_store
+from . import decontaminate, license_scan, oracles, packing, pii, quality_rules, repeats, sharding, simhash, token_store
 from .common import documents, table
 
 
@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_sharding": oracles.sharding(SHARD_BYTES), "op7_substring_dedup": oracles.SUBSTRINGS, "op10_decontamination": oracles.DECONTAMINATION}
