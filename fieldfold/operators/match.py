@@ -181,3 +181,6 @@ def decimate(samples: DataFrame, most: int = 4000) -> DataFrame:
     return samples.withColumns({"_n": F.greatest(F.lit(1), F.floor(n / most)), "_i": i}).where("_i % _n = 0").drop("_n", "_i")
 
 
+def track_counts(samples: DataFrame) -> DataFrame:
+    """track, samples, derived (headings filled in), first_seq."""
+    return samples.groupBy("track").agg(F.count("*").alias("samples"), F.count_if("heading_derived").alias("derived"), F.min("seq").alias("first_seq"))

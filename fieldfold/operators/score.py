@@ -79,9 +79,8 @@ def evaluate(points: DataFrame, clusters: DataFrame, animals: DataFrame, truth:
     observed = truth.join(seen, "truth_id", "left_semi")
     n_obs = observed.count()
     hits = match_points(animals.select(F.col("number").alias("pid"), "x", "y"), observed.select("tid", "x", "y"), radius).agg(F.count("*"), F.avg("distance")).first()
-    known = points.select("idx", "truth_id").join(clusters.where("cluster is not null"), "idx").where("truth_id is not null and truth_id <> 'FP'").select("cluster", "truth_id").distinct()
-    over = known.groupBy("cluster").count().where("count > 1").count()
-    split = known.groupBy("truth_id").count().where("count > 1").count()
+    known = points.select("idx", "truth_id").join(clusters.where("cluster is not null"), "idx").where("truth_id is not null and truth_id <> 'FP'").select("cluster", "truth_id")
+    over, split = identity_errors(known)
     precision, recall = (hits[0] / n if n else 0.0 for n in (n_pred, n_obs))
     return {
         "true_animals": n_truth, "observed_animals": n_obs, "raw_detections": n_raw, "predicted_animals": n_pred, "matched": hits[0], "precision": precision, "recall": recall,
@@ -90,6 +89,26 @@ def evaluate(points: DataFrame, clusters: DataFrame, animals: DataFrame, truth:
     }
 
 
+def identity_errors(known: DataFrame) -> tuple[int, int]:
+    """(clusters that hold several truths, truths that stand in several clusters) of known(cluster, truth_id)."""
+    known = known.distinct()
+    return tuple(known.groupBy(c).count().where("count > 1").count() for c in ("cluster", "truth_id"))
+
+
+def class_accuracy(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """label, truth, predicted, error, accuracy by class in lower case, for the classes that truth has."""
+    n = lambda df, name: df.groupBy(F.lower("label").alias("label")).agg(F.count("*").alias(name))
+    both = n(truth, "truth").join(n(predicted, "predicted"), "label", "left").withColumn("predicted", F.coalesce("predicted", F.lit(0)))
+    error = F.col("predicted") - F.col("truth")
+    return both.select("label", "truth", "predicted", error.alias("error"), F.greatest(F.lit(0.0), 1 - F.abs(error) / F.col("truth")).alias("accuracy"))
+
+
+def rollup(runs: DataFrame, threshold: float) -> DataFrame:
+    """By profile: runs, mean count accuracy and F1, mean share of detections removed, whether both means pass."""
+    means = runs.groupBy("profile").agg(F.count("*").alias("runs"), F.avg("count_accuracy").alias("count_accuracy"), F.avg("f1").alias("f1"), F.avg(1 - F.col("predicted_animals") / F.col("raw_detections")).alias("removed"))
+    return means.withColumn("passed", (F.col("count_accuracy") >= threshold) & (F.col("f1") >= threshold))
+
+
 def parse_counts(text: str) -> dict[str, int]:
     """"150" is a total; "cattle=120,sheep=30" counts by class, in lower case."""
     text = text.strip()

@@ -442,6 +442,77 @@ def sim_ideal_survey(spark, sf_dir):
     return spark.createDataFrame([("ideal", s["predicted_animals"], round(s["f1"], 6))], "profile string, animals long, f1 double")
 
 
+# ---- more of sources, joins and scores ----
+
+@query("""SELECT event_id AS id, 'img_' || user_id AS frame_id, CAST(event_id % 50 AS INTEGER) AS frame_number, CAST((event_id * 7919) % 400 AS DOUBLE) + (event_id % 40) / 2.0::DOUBLE AS x, CAST((event_id * 104729) % 300 AS DOUBLE) + (event_id % 30) / 2.0::DOUBLE AS y, CASE WHEN event_id % 3 = 0 THEN 'class_' || (event_id % 9) ELSE event_type END AS label, round((event_id % 101) / 100.0::DOUBLE, 6) AS confidence
+FROM events WHERE event_id % 13 <> 0""")
+def src_box_records(spark, sf_dir):
+    """A table of text columns under aliased headers, as a log has them; rows without a whole box are left out."""
+    e = table(spark, sf_dir, "events").selectExpr("event_id AS _row", "concat('img_', user_id) AS `Image Name`", "cast(event_id % 50 as string) AS `Frame-Idx`", "CASE WHEN event_id % 13 = 0 THEN 'n/a' ELSE concat((event_id * 7919) % 400, '.0') END AS Left", "cast((event_id * 104729) % 300 as string) AS Top",
+                                                  "cast(event_id % 40 as string) AS `Width (px)`", "cast(event_id % 30 as string) AS `Height [px]`", "CASE WHEN event_id % 3 = 0 THEN ' ' ELSE event_type END AS Class_Name", "cast(event_id % 9 as string) AS cls", "CASE WHEN event_id % 101 > 1 THEN cast(event_id % 101 as string) ELSE concat((event_id % 101) / 100D, '') END AS Score")
+    return boxes.parse_records(e, "log.csv").select("id", "frame_id", "frame_number", "x", "y", "label", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"""WITH e AS (SELECT * FROM events), s AS (SELECT event_id % 500 AS number, max(event_id) AS last FROM e WHERE event_type = 'view' GROUP BY ALL) SELECT e.event_id AS id, CASE WHEN s.number IS NULL THEN '{match.NO_SAMPLE}' END AS reason, CASE WHEN s.number IS NOT NULL THEN CAST(s.last % 90 AS DOUBLE) END AS latitude FROM e LEFT JOIN s ON e.event_id % 700 = s.number""")
+def jn_match_by_number(spark, sf_dir):
+    """Frame numbers that stand twice: the last sample wins; a miss is final."""
+    e = table(spark, sf_dir, "events")
+    none, word = F.lit(None).cast("double"), F.lit(None).cast("string")
+    tele = e.where("event_type = 'view'").select(F.lit("a.SRT").alias("track"), F.lit(0).alias("track_order"), F.col("event_id").alias("seq"), F.expr("CAST(event_id % 90 AS DOUBLE)").alias("latitude"), F.lit(151.0).alias("longitude"), F.lit(60.0).alias("altitude_agl_m"), F.lit(10.0).alias("heading_deg"), none.alias("gimbal_pitch_deg"), none.alias("gimbal_roll_deg"), none.alias("time_s"), F.expr("CAST(event_id % 500 AS INT)").alias("frame_number"), word.alias("frame_id"), word.alias("timestamp"))
+    dets = e.select(F.col("event_id").alias("id"), word.alias("source"), word.alias("frame_id"), F.expr("CAST(event_id % 700 AS INT)").alias("frame_number"), none.alias("time_s"), F.lit(1.0).alias("x"), F.lit(1.0).alias("y"), F.col("event_type").alias("label"), F.lit(1.0).alias("confidence"), word.alias("detection_id"))
+    return match.match(dets, tele, IngestOptions()).select("id", "reason", "latitude")
+
+
+@query(f"{_CLUSTERS}, l AS (SELECT cc.cluster, p.label, count(*) AS c FROM cc JOIN p USING (idx) GROUP BY ALL) SELECT cluster, '{{' || string_agg('\"' || label || '\": ' || c, ', ' ORDER BY label) || '}}' AS label_votes FROM l GROUP BY cluster")
+def snk_votes_text(spark, sf_dir):
+    from ..sources.writers import votes_json
+
+    p, c = _clusters(spark, sf_dir)
+    return dedup.resolve(p, c).select("cluster", votes_json(F.col("label_votes")).alias("label_votes"))
+
+
+@query(f"{_CLUSTERS}, k AS (SELECT cluster FROM cc GROUP BY cluster HAVING count(*) > 2) SELECT cc.cluster, p.idx, p.x, p.y FROM k JOIN cc USING (cluster) JOIN p USING (idx)")
+def jn_observation_links(spark, sf_dir):
+    """The raw places of every sighting of a record that was seen more than twice."""
+    p, c = _clusters(spark, sf_dir)
+    a = dedup.resolve(p, c).where("n_observations > 2").select("cluster")
+    return a.join(c, "cluster").join(p.select("idx", "x", "y"), "idx").select("cluster", "idx", "x", "y")
+
+
+@query("WITH f AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS frame_id FROM events) SELECT frame_id, row_number() OVER (ORDER BY frame_id) AS code FROM f")
+def wn_frame_codes(spark, sf_dir):
+    return dedup.rank_all(frames(spark, sf_dir).select("frame_id"), ["frame_id"]).select("frame_id", F.col("rank").alias("code"))
+
+
+@query(f"""{_CLUSTERS}, t AS (SELECT cc.cluster, 'T' || (idx % 400) AS truth_id FROM cc WHERE idx % 17 <> 0), o AS (SELECT cluster FROM t GROUP BY cluster HAVING count(DISTINCT truth_id) > 1), s AS (SELECT truth_id FROM t GROUP BY truth_id HAVING count(DISTINCT cluster) > 1) SELECT (SELECT count(*) FROM o) AS over_merged, (SELECT count(*) FROM s) AS split""")
+def ag_identity_errors(spark, sf_dir):
+    _, c = _clusters(spark, sf_dir)
+    t = c.where("idx % 17 <> 0").select("cluster", F.expr("concat('T', idx % 400)").alias("truth_id"))
+    both = score.identity_errors(t)
+    return spark.createDataFrame([both], "over_merged long, split long")
+
+
+@query("""WITH c AS (SELECT lower(event_type) AS label, count(*) FILTER (event_id % 2 = 0) AS truth, count(*) FILTER (event_id % 3 = 0) AS predicted FROM events GROUP BY ALL) SELECT label, truth, predicted, predicted - truth AS error, round(CASE WHEN truth = 0 THEN CASE WHEN predicted = 0 THEN 1 ELSE 0 END ELSE greatest(0, 1 - abs(predicted - truth) / truth::DOUBLE) END, 6) AS accuracy FROM c WHERE truth > 0""")
+def ag_class_accuracy(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    predicted = e.where("event_id % 3 = 0").select(F.upper("event_type").alias("label"))
+    truth = e.where("event_id % 2 = 0").select(F.col("event_type").alias("label"))
+    return score.class_accuracy(predicted, truth).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("""WITH r AS (SELECT event_type AS profile, user_id % 10 AS seed, count(*) AS raw, count(DISTINCT user_id) AS predicted, avg(value) AS v FROM events GROUP BY ALL) SELECT profile, count(*) AS runs, round(avg(predicted / 100.0::DOUBLE), 6) AS count_accuracy, round(avg(1 - predicted / raw::DOUBLE), 6) AS removed, avg(predicted / 100.0::DOUBLE) >= 0.99 AS passed FROM r GROUP BY profile""")
+def ag_benchmark_rollup(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("profile"), (F.col("user_id") % 10).alias("seed")).agg(F.count("*").alias("raw_detections"), F.countDistinct("user_id").alias("predicted_animals"))
+    out = score.rollup(e.withColumns({"count_accuracy": F.col("predicted_animals") / 100.0, "f1": F.lit(1.0)}), 0.99)
+    return out.select("profile", "runs", F.round("count_accuracy", 6).alias("count_accuracy"), F.round("removed", 6).alias("removed"), "passed")
+
+
+@query("""WITH t AS (SELECT event_type AS track, event_id AS seq, value FROM events) SELECT track, count(*) AS samples, count_if(seq % 5 = 0) AS derived, min(seq) AS first_seq FROM t GROUP BY track""")
+def ag_track_counts(spark, sf_dir):
+    t = table(spark, sf_dir, "events").select(F.col("event_type").alias("track"), F.col("event_id").alias("seq"), (F.col("event_id") % 5 == 0).alias("heading_derived"))
+    return match.track_counts(t)
+
+
 @query()
 def survey_records(spark, sf_dir):
     """The whole pipeline: cast, cluster, register, resolve."""
