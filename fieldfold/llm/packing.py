@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,7 +91,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENCE)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(place(b))], ["place"])
+            yield pa.RecordBatch.from_arrays([pa.array(place(b)), pc.cast(pc.binary_length(pc.fill_null(b.column(1), "")), pa.int64())], ["place", "size"])
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,8 +150,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENCE)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").bitwiseAND(F.lit(0x7FFFFFFF)).alias("tie"))
     every = max(1, docs.count() // BOUNDS)
     # the sample only balances the ranges; all rows are keyed and packed once
-    found = rows.where(F.col("tie") % every == 0).limit(4 * BOUNDS).mapInArrow(sampled, "place long").collect()
-    sample = np.sort(np.array([r.place for r in found], np.int64))
-    bounds = sample[(np.arange(1, n) * len(sample)) // n] if len(sample) else sample
+    found = rows.where(F.col("tie") % every == 0).limit(4 * BOUNDS).mapInArrow(sampled, "place long, size long").collect()
+    found.sort()
+    sample, size = (np.array([r[c] for r in found], np.int64) for c in ("place", "size"))
+    # ranges of about equal bytes: long texts lie together on the curve
+    reached = np.cumsum(size + 64)
+    bounds = sample[np.searchsorted(reached, np.arange(1, n) * (reached[-1] / n))] if len(sample) else sample
     placed = rows.mapInArrow(key, "part int, key long, doc_id long, text string").repartitionById(n, "part").drop("part").sortWithinPartitions("key", "doc_id", "text")
     return placed.mapInArrow(lay, ", ".join(f"{c} long" for c in schema.names))
