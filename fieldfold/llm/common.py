@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 
 _own_dirs: dict[str, str] = {}
+_cleaned: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dirs[app]
 
 
+def _clean(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        remove(spark, folder)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder. What this application has left there goes when it ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _cleaned:
+        _cleaned.add(app)
+        atexit.register(_clean, spark, f"{shared_dir(spark)}/fieldfold/{app}")
     return f"{shared_dir(spark)}/fieldfold/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 

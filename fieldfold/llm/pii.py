@@ -30,13 +30,12 @@ Span = tuple[int, int, int]  # start, kind, end
 
 # The patterns of the base kinds.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _TRIGGER = re.compile(r"[0-9@]")
-_NUMERIC = re.compile(r"[0-9.]+")
+_NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)++")
 #: The forms that spans added by the tagger must have.
 _FORMS = (
     re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -73,13 +72,24 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of four numbers between dots: in a run of such numbers every four from the left are one match, so each
+    run is read once."""
+    for run in _NUMBERS.finditer(text):
+        parts, at = run[0].split("."), run.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+                yield at, end
+            at = end + 1
+
+
 def base_spans(text: str) -> list[Span]:
     """The spans of the fixed patterns by start, then kind."""
     out = [(a, 0, b) for a, b in _emails(text)] if "@" in text else []
     if _TRIGGER.search(text):
-        for run in _NUMERIC.finditer(text):
-            if run[0].count(".") >= 3:
-                out += [(m.start(), 1, m.end()) for m in _IP.finditer(text, run.start(), run.end()) if max(map(int, m[0].split("."))) <= 255]
+        out += [(a, 1, b) for a, b in _ips(text)] if "." in text else []
         out += [(m.start(), 2, m.end()) for m in _CARD.finditer(text) if m.end() - m.start() >= 12 and 12 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         if "+" in text:
             out += [(m.start(), 3, m.end()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]

@@ -118,6 +118,9 @@ def test_base_spans_equal_the_patterns():
     for _ in range(20_000):
         t = "".join(r.choice(list("a1.@+- ()9 ."), 30))
         assert pii.base_spans(t) == plain_spans(t), t
+    for t in ("1.2.3.4.5.6.7.8.9", "1.2.3.4.5.6.7.999.1.1.1.1", "256.1.1.1.2.2.2.2", "007.0000255.1.1.", ".1.1.1.1..2.2.2.2", "1.2.3"):
+        assert pii.base_spans(t) == plain_spans(t), t
+    assert pii.base_spans(".1.1." + "9" * 300_000) == []
     long_run = "a" * 200_000 + "@b.c" + "9" * 5000
     assert pii.base_spans(long_run)[0] == (0, 0, 200_004 + 5000)
 
