@@ -1,8 +1,8 @@
 """SimHash near-duplicates by a binary trie self-join.
 
 Fingerprints are made in one pass over the texts. Equal fingerprints are one trie leaf, however many documents
-have them. The trie's top p bits are dealt to tasks: every pair of p-bit nodes that differ in at most 3 bits is
-one task, which walks both subtrees together, a bit a level: a pair of nodes has the differing bits so far, and
+have them. The trie's upper nodes are dealt to tasks (nodes of too many fingerprints are split further): every pair
+of nodes that differ in at most 3 bits is one task, which walks both subtrees together, a bit a level: a pair of nodes has the differing bits so far, and
 goes once they exceed the budget, once either is empty, or once all below is one component anyway. A task
 returns a spanning forest of its links, and Spark joins the forests to components.
 
@@ -27,8 +27,8 @@ from .common import doc_key, materialise, text_of
 from .components import components
 
 SEED, SHINGLE, BITS_APART = 42, 3, 3
-#: Distinct fingerprints below one top node, about; p grows with the table beyond.
-A_NODE, LEAST_BITS, MOST_BITS = 1 << 15, 6, 20
+#: Distinct fingerprints below one node dealt to tasks at most; the least and most bits to begin with; bits to split by.
+A_NODE, LEAST_BITS, MOST_BITS, STEP = 1 << 15, 6, 20, 6
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _PLACE = (np.arange(8) * 256).astype(np.int64)
 
@@ -136,23 +136,69 @@ def trie_join(sorted_f: np.ndarray, ranges: tuple[int, int, int, int], depth: in
     return forest.root
 
 
-def _join_nodes(key, rows: pa.Table, depth: int) -> pa.Table:
+def _bits(depth: int) -> list[int]:
+    """All differences of up to BITS_APART bits over a prefix, as signed longs."""
+    out = [sum(1 << i for i in c) for r in range(BITS_APART + 1) for c in combinations(range(depth), r)]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in out]
+
+
+def _prefix(depth: int):
+    return F.shiftrightunsigned(F.col("f"), 64 - depth)
+
+
+def leaf_nodes(distinct: DataFrame, depth: int) -> tuple[DataFrame, list[int]]:
+    """(depth, prefix) of the trie nodes dealt to tasks, and their depths: nodes of more than A_NODE fingerprints are
+    split STEP bits further, so that a dense ball of fingerprints spreads over many tasks."""
+    out, depths, open_ = None, [], distinct.select("f")
+    while True:
+        counts = materialise(open_.groupBy(_prefix(depth).alias("prefix")).count(), "trie-nodes")
+        fits = counts.where((F.col("count") <= A_NODE) | F.lit(depth == 64)).select(F.lit(depth).alias("depth"), "prefix")
+        out = fits if out is None else out.unionByName(fits)
+        depths.append(depth)
+        large = counts.where((F.col("count") > A_NODE) & F.lit(depth < 64)).select("prefix")
+        if large.limit(1).count() == 0:
+            return out, depths
+        open_ = open_.withColumn("prefix", _prefix(depth)).join(large, "prefix", "left_semi").select("f")
+        depth = min(64, depth + STEP)
+
+
+def node_pairs(leaves: DataFrame, depths: list[int]) -> DataFrame:
+    """da, pa, db, pb: the pairs of leaves, each once, whose prefixes differ in BITS_APART bits at most over the
+    shallower depth db."""
+    out = None
+    for db in depths:
+        a = leaves.where(F.col("depth") >= db).select(F.col("depth").alias("da"), F.col("prefix").alias("pa"))
+        near = a.withColumn("m", F.explode(F.array(*map(F.lit, _bits(db))))).withColumn("pb", F.expr(f"shiftrightunsigned(pa, da - {db})").bitwiseXOR(F.col("m")))
+        b = leaves.where(F.col("depth") == db).select(F.col("depth").alias("db"), F.col("prefix").alias("pb"))
+        found = near.join(b, "pb").where((F.col("da") > F.col("db")) | (F.col("pa") >= F.col("pb"))).select("da", "pa", "db", "pb")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _join_nodes(key, rows: pa.Table) -> pa.Table:
     f = np.sort(rows.column("f").to_numpy().view(np.uint64))
-    a, b = (np.uint64(k.as_py()) for k in key)
-    top = f >> np.uint64(64 - depth)
-    edges = lambda node: (int(np.searchsorted(top, node)), int(np.searchsorted(top, node, side="right")))
-    root = trie_join(f, (*edges(a), *edges(b)), depth, BITS_APART)
+    da, pa_, db, pb = (k.as_py() for k in key)
+
+    def edges(depth: int, prefix: int) -> tuple[int, int]:
+        top = f >> np.uint64(64 - depth)
+        node = np.uint64(prefix & (2**64 - 1))
+        return int(np.searchsorted(top, node)), int(np.searchsorted(top, node, side="right"))
+
+    root = trie_join(f, (*edges(da, pa_), *edges(db, pb)), db, BITS_APART)
     linked = np.flatnonzero(root != np.arange(len(f)))
     return pa.table({"a": f[linked].view(np.int64), "b": f[root[linked]].view(np.int64)})
 
 
 def links(distinct: DataFrame, depth: int) -> DataFrame:
     """A spanning forest (a, b) of the links between distinct fingerprints f."""
-    masks = [sum(1 << i for i in c) for r in range(BITS_APART + 1) for c in combinations(range(depth), r)]
-    top = F.shiftrightunsigned(F.col("f"), 64 - depth)
-    both = distinct.select("f", top.alias("t"), F.explode(F.array(*map(F.lit, masks))).alias("m")).select("f", F.least("t", F.col("t").bitwiseXOR(F.col("m"))).alias("pa"), F.greatest("t", F.col("t").bitwiseXOR(F.col("m"))).alias("pb"))
-    both = both.select("f", F.col("pa").cast("long").alias("pa"), F.col("pb").cast("long").alias("pb"))
-    return both.groupBy("pa", "pb").applyInArrow(lambda key, rows: _join_nodes(key, rows, depth), "a long, b long")
+    leaves, depths = leaf_nodes(distinct, depth)
+    pairs = materialise(node_pairs(leaves, depths), "trie-pairs")
+    each = distinct.select("f", F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), _prefix(d).alias("prefix")) for d in depths))).alias("n")).select("f", "n.*")
+    if len(depths) > 1:
+        each = each.join(leaves, ["depth", "prefix"], "left_semi")
+    left = each.join(pairs, (each.depth == pairs.da) & (each.prefix == pairs.pa)).select("f", "da", "pa", "db", "pb")
+    right = each.join(pairs.where("da <> db or pa <> pb"), (each.depth == F.col("db")) & (each.prefix == F.col("pb"))).select("f", "da", "pa", "db", "pb")
+    return left.unionByName(right).groupBy("da", "pa", "db", "pb").applyInArrow(lambda key, rows: _join_nodes(key, rows), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -76,3 +76,15 @@ def test_components(spark):
 
     e = e[e[:, 0] != e[:, 1]]
     assert got == dict(zip(*(v.tolist() for v in roots(e[:, 0], e[:, 1])), strict=True))
+
+
+def test_crowded_nodes_are_split(spark, sf_dir, monkeypatch):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    monkeypatch.setattr(simhash, "A_NODE", 4)
+    monkeypatch.setattr(simhash, "LEAST_BITS", 1)
+    monkeypatch.setattr(simhash, "MOST_BITS", 1)
+    monkeypatch.setattr(simhash, "STEP", 3)
+    distinct = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in {slow_fingerprint(t) for _, t in rows}], "f long")
+    leaves, depths = simhash.leaf_nodes(distinct, 1)
+    assert len(depths) > 2
+    assert sorted((tuple(r) for r in queries.op4_simhash(spark, sf_dir).collect()), key=str) == slow_components(rows)
