@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .mathx import COLUMN
@@ -50,7 +50,9 @@ class Utm:
         """(easting, northing) of longitude and latitude in degrees."""
         phi, lam = m.radians(latitude), m.radians(longitude - self.central_meridian)
         t = m.sinh(m.atanh(m.sin(phi)) - m.atanh(m.sin(phi) * _CONFORMAL) * _CONFORMAL)
-        xi, eta = m.atan2(t, m.cos(lam)), m.atanh(m.sin(lam) / m.sqrt(t * t + 1.0))
+        return self.series(m.atan2(t, m.cos(lam)), m.atanh(m.sin(lam) / m.sqrt(t * t + 1.0)), m)
+
+    def series(self, xi, eta, m=COLUMN):
         e, n = eta, xi
         for j, a in enumerate(ALPHA, 1):
             e = e + m.cos(xi * (2.0 * j)) * m.sinh(eta * (2.0 * j)) * a
@@ -70,6 +72,16 @@ class Utm:
             phi = phi + m.sin(chi * (2.0 * j)) * d
         return m.degrees(m.atan2(m.sinh(eta), m.cos(xi))) + self.central_meridian, m.degrees(phi)
 
+    def place(self, df: DataFrame, longitude: Column, latitude: Column, easting: str, northing: str) -> DataFrame:
+        """df with easting and northing, worked out in stages: each intermediate value is a column, computed once a row,
+        and the generated code stays small."""
+        m, t = COLUMN, f"_{easting}_"
+        df = df.withColumns({t + "phi": m.radians(latitude), t + "lam": m.radians(longitude - self.central_meridian)})
+        df = df.withColumn(t + "t", m.sinh(m.atanh(m.sin(F.col(t + "phi"))) - m.atanh(m.sin(F.col(t + "phi")) * _CONFORMAL) * _CONFORMAL))
+        df = df.withColumns({t + "xi": m.atan2(F.col(t + "t"), m.cos(F.col(t + "lam"))), t + "eta": m.atanh(m.sin(F.col(t + "lam")) / m.sqrt(F.col(t + "t") * F.col(t + "t") + 1.0))})
+        e, n = self.series(F.col(t + "xi"), F.col(t + "eta"), m)
+        return df.withColumns({easting: e, northing: n}).drop(*(t + k for k in ("phi", "lam", "t", "xi", "eta")))
+
     def convergence(self, longitude, latitude, m=COLUMN):
         """Degrees from true north to grid north, by a forward difference of 1e-4 degrees of latitude."""
         e0, n0 = self.forward(longitude, latitude, m)

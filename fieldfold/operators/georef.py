@@ -19,11 +19,13 @@ def survey_zone(frames: DataFrame) -> Utm:
 
 def georeference(frames: DataFrame, detections: DataFrame, utm: Utm, max_range: float = MAX_RANGE) -> DataFrame:
     """detections with x, y on the ground and valid; pixel places as px, py. Camera terms are computed once a frame."""
-    e, n = utm.forward(F.col("longitude"), F.col("latitude"))
-    grid = F.col("heading_deg") + utm.convergence(F.col("longitude"), F.col("latitude"))
-    axes = attitude(grid, F.col("gimbal_pitch_deg"), F.col("gimbal_roll_deg"))
+    lon, lat = F.col("longitude"), F.col("latitude")
+    frames = utm.place(utm.place(frames, lon, lat, "_e", "_n"), lon, lat + 1e-4, "_e1", "_n1")
+    # headings are from true north, the grid from grid north
+    frames = frames.withColumn("_g", F.col("heading_deg") + F.degrees(F.atan2(F.col("_e1") - F.col("_e"), F.col("_n1") - F.col("_n"))))
+    axes = attitude(F.col("_g"), F.col("gimbal_pitch_deg"), F.col("gimbal_roll_deg"))
     f = focal_px(F.col("image_width").cast("double"), F.col("image_height").cast("double"), F.col("fov_deg"), F.col("fov_type"))
-    terms = {"_e": e, "_n": n, "_f": f, "_cx": F.coalesce("cx", F.col("image_width") / 2.0), "_cy": F.coalesce("cy", F.col("image_height") / 2.0), "_h": F.col("altitude_agl_m")}
+    terms = {"_e": F.col("_e"), "_n": F.col("_n"), "_f": f, "_cx": F.coalesce("cx", F.col("image_width") / 2.0), "_cy": F.coalesce("cy", F.col("image_height") / 2.0), "_h": F.col("altitude_agl_m")}
     terms |= {f"_{a}{k}": axis[k] for a, axis in zip("rdf", axes, strict=True) for k in range(3)}
     cams = frames.select("frame_id", *(c.alias(k) for k, c in terms.items()))
     rows = detections.withColumnsRenamed({"x": "px", "y": "py"}).join(cams, "frame_id")

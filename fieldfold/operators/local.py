@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from ..config import DedupConfig
+from ..config import DedupConfig, RegistrationConfig
 from .graph import roots
 
 
@@ -86,3 +86,79 @@ def assign(idx: np.ndarray, x: np.ndarray, y: np.ndarray, frame: np.ndarray, con
     out = np.full(n, -1, np.int64)
     out[kept] = np.where(cluster >= 0, idx[kept][np.maximum(cluster, 0)], -1)
     return out[keeper]
+
+
+MODELS = np.array(["none", "translation", "similarity"])
+
+
+def targets(x: np.ndarray, y: np.ndarray, cluster: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which, tx, ty): points of clusters of two or more, and the mean of each one's other points."""
+    kept = np.flatnonzero(cluster >= 0)
+    _, code, count = np.unique(cluster[kept], return_inverse=True, return_counts=True)
+    which = kept[count[code] > 1]
+    code = code[count[code] > 1]
+    n = count[code] - 1
+    ox, oy = x.mean(), y.mean()
+    mean = lambda v, o: (np.bincount(code, v[which] - o, len(count))[code] - (v[which] - o)) / n + o
+    return which, mean(x, ox), mean(y, oy)
+
+
+def estimate(x: np.ndarray, y: np.ndarray, cluster: np.ndarray, frame: np.ndarray, n_frames: int, r: RegistrationConfig, trim: float) -> dict[str, np.ndarray]:
+    """The move of each frame, as align.estimate gives it: c, a, b, u, v, model, n_matches by frame."""
+    size = np.maximum(np.bincount(frame, minlength=n_frames), 1)
+    cx, cy = np.bincount(frame, x, n_frames) / size, np.bincount(frame, y, n_frames) / size
+    which, tx, ty = targets(x, y, cluster)
+    f = frame[which]
+    sx, sy, dx, dy = x[which] - cx[f], y[which] - cy[f], tx - cx[f], ty - cy[f]
+
+    def fit(rows, use_if):
+        of = lambda v: np.bincount(f[rows], v[rows], n_frames)
+        n = np.bincount(f[rows], minlength=n_frames)
+        k = np.maximum(n, 1)
+        mx, my, ux, uy = of(sx), of(sy), of(dx), of(dy)
+        ss = of(sx * sx + sy * sy) - (mx * mx + my * my) / k
+        dot, cross = of(sx * dx + sy * dy) - (mx * ux + my * uy) / k, of(sx * dy - sy * dx) - (mx * uy - my * ux) / k
+        use = use_if(n, np.sqrt(np.maximum(ss, 0) / k)) & (ss > 0)
+        safe = np.where(ss > 0, ss, 1)
+        a, b = np.where(use, dot / safe, 1.0), np.where(use, cross / safe, 0.0)
+        return {"n": n, "a": a, "b": b, "u": (ux - (a * mx - b * my)) / k, "v": (uy - (b * mx + a * my)) / k, "similar": use, "mx": (ux - mx) / k, "my": (uy - my) / k}
+
+    every = np.ones(len(which), bool)
+    first = fit(every, lambda n, radius: (n >= r.min_matches) & (radius >= r.min_spread_m))
+    wide = (first["n"] >= r.min_matches) & first["similar"]
+    moved = lambda p, g, px, py: (p["a"][g] * px - p["b"][g] * py + p["u"][g], p["b"][g] * px + p["a"][g] * py + p["v"][g])
+    qx, qy = moved(first, f, sx, sy)
+    good = np.hypot(qx - dx, qy - dy) <= trim
+    again = fit(good, lambda n, radius: wide & (n >= 3))
+    some = again["n"] > 0
+    refit = some & (again["n"] < first["n"])
+    best = {k: np.where(refit, again[k], first[k]) for k in ("n", "a", "b", "u", "v", "similar")}
+    mx, my = (np.where(some, again[k], first[k]) for k in ("mx", "my"))
+    kn = np.where(some, again["n"], first["n"])
+    px, py = x - cx[frame], y - cy[frame]
+    qx, qy = moved(best, frame, px, py)
+    shift = np.zeros(n_frames)
+    np.maximum.at(shift, frame, np.hypot(qx - px, qy - py))
+    scale, turn = np.hypot(best["a"], best["b"]), np.degrees(np.arctan2(best["b"], best["a"]))
+    wild = (shift > r.max_shift_m) | (np.abs(turn) > r.max_rotation_deg) | (np.abs(scale - 1) > r.max_scale)
+    far = np.hypot(mx, my) > r.max_shift_m
+    none = first["n"] == 0
+    pick = lambda own, move, still: np.where(none, still, np.where(~wild, own, np.where(~far, move, still)))
+    return {"cx": cx, "cy": cy, "a": pick(best["a"], 1.0, 1.0), "b": pick(best["b"], 0.0, 0.0), "u": pick(best["u"], mx, 0.0), "v": pick(best["v"], my, 0.0),
+            "model": pick(np.where(best["similar"], 2, 1), 1, 0), "n_matches": np.where(none, 0, np.where(~wild, best["n"], np.where(~far, kn, first["n"])))}
+
+
+def register(idx, x, y, frame, confidence, config: DedupConfig, r: RegistrationConfig):
+    """(x, y, cluster, model, n_matches by point) after all passes."""
+    n_frames = int(frame.max()) + 1 if len(frame) else 0
+    cluster = assign(idx, x, y, frame, confidence, config)
+    trim = r.trim_m if r.trim_m is not None else config.eps_m
+    model, matches = np.zeros(n_frames, int), np.zeros(n_frames, int)
+    for _ in range(r.iterations):
+        p = estimate(x, y, cluster, frame, n_frames, r, trim)
+        px, py = x - p["cx"][frame], y - p["cy"][frame]
+        a, b = p["a"][frame], p["b"][frame]
+        x, y = a * px - b * py + p["u"][frame] + p["cx"][frame], b * px + a * py + p["v"][frame] + p["cy"][frame]
+        model, matches = p["model"].astype(int), p["n_matches"]
+        cluster = assign(idx, x, y, frame, confidence, config)
+    return x, y, cluster, MODELS[model][frame], matches[frame]
