@@ -13,7 +13,7 @@ from array import array
 from functools import lru_cache
 
 #: Chunks in a generation of the cache; there are two at most, so memory is bounded (about 250 bytes a chunk).
-CACHE = 500_000
+CACHE = 250_000
 _RUN = re.compile(r"\s\s")
 #: Marks that are a token of their own after a letter (no apostrophe: it may begin a contraction).
 _MARKS = ".,;:!?()[]|*#$%&-"
@@ -96,11 +96,6 @@ class Encoder:
         return self.newline.join(out)
 
 
-def slices(batch, rows: int = 256):
-    """A batch in parts, so that few texts are Python strings at once."""
-    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
-
-
 @lru_cache(maxsize=4)
 def encoder(path: str, leading: bool) -> Encoder:
     """The process's encoder for a file: a Python worker keeps it, and its cache, from task to task."""

@@ -48,6 +48,11 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that few texts are Python strings at once."""
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 class Hashes:
     """Rolling hashes of one stream."""
 

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .encode import encoder as encoder_of
-from .encode import slices
 
 SEQUENCE = 2048
 DIMENSIONS, BITS = 4, 8
@@ -129,7 +128,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENCE)
             return out
 
         for b in batches:
-            for part_of in slices(b):
+            for part_of in kernel.slices(b):
                 for place_of, doc, text in zip(*(c.to_pylist() for c in part_of.columns), strict=True):
                     ids = encoder.encode(text) + end
                     total, at = len(ids) // 4, 0

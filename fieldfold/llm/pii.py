@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
+from .kernel import slices
 from .tagger import KINDS, Tagger, classes, trained
 
 WIDTH, STEP = 96, 64
@@ -221,7 +222,7 @@ def find(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1024)):
             found = all_spans(b.column(1).to_pylist(), model)
             columns = [b.column(0), *(pa.array([sum(x[1] == k for x in base) for base, _ in found], pa.int64()) for k in range(len(KINDS))),
                        pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found], pa.string()), pa.array([written(every) for _, every in found], pa.string())]
@@ -236,7 +237,7 @@ def mask(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1024)):
             texts = b.column(at).to_pylist()
             out = [masked(t, every) for t, (_, every) in zip(texts, all_spans(texts, model), strict=True)]
             yield b.set_column(at, "text", pa.array(out, b.schema.field(at).type))

@@ -160,7 +160,7 @@ def remove(found: DataFrame, spec: Spec) -> DataFrame:
     """doc_id, n (symbols), n_removed, n_spans, kept (binary: what is left, words joined by one blank)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in kernel.slices(batch, 1024)):
             out = []
             lists = [(*_ints(b.column(i)), b.column(i).is_null().to_numpy(zero_copy_only=False)) for i in (2, 3)]
             for i, (doc_id, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):

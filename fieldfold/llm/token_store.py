@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path
 from .encode import encoder as encoder_of
-from .encode import slices
+from .kernel import slices
 
 FRAME_BYTES = 1 << 18
 INDEX_MAGIC, TABLE_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
