@@ -53,15 +53,16 @@ def release(spark: SparkSession) -> None:
         time.sleep(wait)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     """Cuts the lineage with a Parquet table in the shared folder: it survives lost executors, and the
-    shuffle files before it can go."""
+    shuffle files before it can go. free: ask for that now (it takes a second), for steps that shuffle much."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     schema = df.schema
     del df
-    release(spark)
+    if free:
+        release(spark)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -111,7 +111,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", text_of().alias("text"), F.xxhash64("item_id", text_of()).alias("item"))
     n = F.size(F.filter(F.split(F.lower("text"), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), lambda w: w != ""))
     short = [r.n for r in items.select(n.alias("n")).where(f"n between 1 and {WINDOW - 1}").distinct().collect()]  # nine values at most
-    f_items = materialise(items.select("item", F.lit(0).cast("long").alias("b"), "text").mapInArrow(_fingerprints(short, True), "f long, item long, b long").select("f", "item").distinct(), "item-fingerprints")
+    f_items = materialise(items.select("item", F.lit(0).cast("long").alias("b"), "text").mapInArrow(_fingerprints(short, True), "f long, item long, b long").select("f", "item").distinct(), "item-fingerprints", False)
     few = f_items.count() <= BROADCAST
 
     base = keyed(docs)
@@ -125,6 +125,6 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no window of any item, with all their columns."""
-    bad = materialise(report(docs, benchmark).where("contaminated").select("doc_id", F.col("doc").alias("_d"), F.col("k").alias("_k")), "contaminated").select("_d", "_k").distinct()
+    bad = materialise(report(docs, benchmark).where("contaminated").select("doc_id", F.col("doc").alias("_d"), F.col("k").alias("_k")), "contaminated", False).select("_d", "_k").distinct()
     base = docs.withColumns({"_d0": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_k0": F.xxhash64(text_of())})
     return base.join(bad, (base._d0 == bad._d) & ((base._k0 == bad._k) | (bad._k == 0)), "left_anti").select(*docs.columns)

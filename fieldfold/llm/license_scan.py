@@ -62,7 +62,7 @@ def spans(docs: DataFrame) -> DataFrame:
     hits = each.join(F.broadcast(_templates(docs.sparkSession)), ["h", "gram"])
     diagonal = (hits.groupBy("doc_id", "_k", "t", "label", "exact", "t_words", (F.col("pos") - F.col("t_pos")).alias("diag"))
                 .agg(F.sort_array(F.collect_set("t_pos")).alias("votes")))
-    diagonal = materialise(diagonal, "diagonals")  # both branches below read it: the texts are scanned once
+    diagonal = materialise(diagonal, "diagonals", False)  # both branches below read it: the texts are scanned once
     whole = diagonal.where(F.col("exact") & (F.size("votes") == F.col("t_words") - (K - 1))).select("doc_id", "_k", "label", "exact", F.col("diag").alias("start"), F.lit(1.0).alias("score"))
 
     # neighbours: walk the sorted diagonals of one (document, template) and start a span where the step is over NEAR

@@ -38,7 +38,7 @@ def directory(hashed: DataFrame, limit: int) -> DataFrame:
     while True:
         cells = open_.groupBy(_prefix(F.col("h"), depth).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.min("h").alias("lo"), F.max("h").alias("hi"))
         each = cells.select("bytes", "lo", "hi", F.explode(F.sequence(F.lit(low), F.lit(depth))).alias("depth"), "cell").selectExpr("bytes", "lo", "hi", "depth", f"shiftrightunsigned(cell, {depth} - depth) AS prefix")
-        nodes = materialise(each.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), (F.min("lo") == F.max("hi")).alias("single")).withColumn("fits", (F.col("shard_bytes") <= limit) | F.col("single") | (F.col("depth") == BITS)), "nodes")
+        nodes = materialise(each.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), (F.min("lo") == F.max("hi")).alias("single")).withColumn("fits", (F.col("shard_bytes") <= limit) | F.col("single") | (F.col("depth") == BITS)), "nodes", False)
         parents = nodes.where("not fits").selectExpr("depth + 1 AS depth", "prefix AS parent")
         leaf = nodes.where("fits").withColumn("parent", F.shiftrightunsigned("prefix", 1))
         below = leaf.join(parents, ["depth", "parent"], "left_semi")

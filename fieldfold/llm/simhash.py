@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import doc_key, materialise, text_of
 from .components import components
+from .kernel import slices
 
 SEED, SHINGLE, BITS_APART = 42, 3, 3
 #: Distinct fingerprints below one node dealt to tasks at most; the least and most bits to begin with; bits to split by.
@@ -59,7 +60,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = np.array([fingerprint(t) for t in b.column(2).to_pylist()], np.uint64)
+            f = np.array([fingerprint(t) for part in slices(b) for t in part.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f.view(np.int64))], ["doc_id", "k", "f"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("k"), "text").mapInArrow(run, "doc_id long, k long, f long")
@@ -151,7 +152,7 @@ def leaf_nodes(distinct: DataFrame, depth: int) -> tuple[DataFrame, list[int]]:
     split STEP bits further, so that a dense ball of fingerprints spreads over many tasks."""
     out, depths, open_ = None, [], distinct.select("f")
     while True:
-        counts = materialise(open_.groupBy(_prefix(depth).alias("prefix")).count(), "trie-nodes")
+        counts = materialise(open_.groupBy(_prefix(depth).alias("prefix")).count(), "trie-nodes", False)
         fits = counts.where((F.col("count") <= A_NODE) | F.lit(depth == 64)).select(F.lit(depth).alias("depth"), "prefix")
         out = fits if out is None else out.unionByName(fits)
         depths.append(depth)
@@ -192,7 +193,7 @@ def _join_nodes(key, rows: pa.Table) -> pa.Table:
 def links(distinct: DataFrame, depth: int) -> DataFrame:
     """A spanning forest (a, b) of the links between distinct fingerprints f."""
     leaves, depths = leaf_nodes(distinct, depth)
-    pairs = materialise(node_pairs(leaves, depths), "trie-pairs")
+    pairs = materialise(node_pairs(leaves, depths), "trie-pairs", False)
     each = distinct.select("f", F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), _prefix(d).alias("prefix")) for d in depths))).alias("n")).select("f", "n.*")
     if len(depths) > 1:
         each = each.join(leaves, ["depth", "prefix"], "left_semi")
@@ -203,14 +204,14 @@ def links(distinct: DataFrame, depth: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, k, f, component_id: the smallest doc_id that links reach."""
-    of_docs = materialise(fingerprints(docs), "fingerprints")
-    distinct = materialise(of_docs.groupBy("f").agg(F.min("doc_id").alias("d")), "distinct-fingerprints")
+    of_docs = materialise(fingerprints(docs), "fingerprints", False)
+    distinct = materialise(of_docs.groupBy("f").agg(F.min("doc_id").alias("d")), "distinct-fingerprints", False)
     n = max(1, distinct.count())
     depth = min(MOST_BITS, max(LEAST_BITS, (n // A_NODE).bit_length()))
     found = components(materialise(links(distinct.select("f"), depth), "links"))
     rooted = distinct.join(found, distinct.f == found.node, "left").select("f", "d", F.coalesce("root", "f").alias("root"))
     named = rooted.groupBy("root").agg(F.min("d").alias("component_id"))
-    of_f = materialise(rooted.join(named, "root").select("f", "component_id"), "components-named")
+    of_f = materialise(rooted.join(named, "root").select("f", "component_id"), "components-named", False)
     return of_docs.join(of_f, "f").select("doc_id", "k", "f", "component_id")
 
 
