@@ -13,7 +13,7 @@ from array import array
 from functools import lru_cache
 
 #: Chunks in a generation of the cache; there are two at most, so memory is bounded (about 250 bytes a chunk).
-CACHE = 250_000
+CACHE = 500_000
 _RUN = re.compile(r"\s\s")
 #: Marks that are a token of their own after a letter (no apostrophe: it may begin a contraction).
 _MARKS = ".,;:!?()[]|*#$%&-"
