@@ -203,7 +203,8 @@ def links(distinct: DataFrame, depth: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, k, f, component_id: the smallest doc_id that links reach."""
+    """doc_id, k, f, root (the component's least fingerprint), component_id: the smallest doc_id that links reach (null
+    where none has one; repeated doc_ids can give several components the same)."""
     of_docs = materialise(fingerprints(docs), "fingerprints", False)
     distinct = materialise(of_docs.groupBy("f").agg(F.min("doc_id").alias("d")), "distinct-fingerprints", False)
     n = max(1, distinct.count())
@@ -211,8 +212,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(materialise(links(distinct.select("f"), depth), "links"))
     rooted = distinct.join(found, distinct.f == found.node, "left").select("f", "d", F.coalesce("root", "f").alias("root"))
     named = rooted.groupBy("root").agg(F.min("d").alias("component_id"))
-    of_f = materialise(rooted.join(named, "root").select("f", "component_id"), "components-named", False)
-    return of_docs.join(of_f, "f").select("doc_id", "k", "f", "component_id")
+    of_f = materialise(rooted.join(named, "root").select("f", "root", "component_id"), "components-named", False)
+    return of_docs.join(of_f, "f").select("doc_id", "k", "f", "root", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -224,7 +225,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The document of each component with the smallest doc_id (of rows that share it, the one of least text hash,
     once), with all its columns."""
     found = near_duplicates(docs)
-    best = found.groupBy("component_id").agg(F.min(F.struct(doc_key().alias("d"), "k")).alias("b")).select("b.d", F.col("b.k").alias("bk"))
+    best = found.groupBy("root").agg(F.min(F.struct(doc_key().alias("d"), "k")).alias("b")).select("b.d", F.col("b.k").alias("bk"))
     base = docs.withColumns({"_d": doc_key(), "_k": F.xxhash64(text_of())})
     kept = base.join(best, (base._d == best.d) & (base._k == best.bk), "left_semi")
     twice = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0

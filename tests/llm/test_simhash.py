@@ -6,7 +6,7 @@ import xxhash
 
 from fieldfold.llm import components, queries, simhash
 
-from .helpers import AWKWARD, awkward, empty
+from .helpers import AWKWARD, awkward, empty, table
 
 
 def slow_fingerprint(text):
@@ -88,3 +88,10 @@ def test_crowded_nodes_are_split(spark, sf_dir, monkeypatch):
     leaves, depths = simhash.leaf_nodes(distinct, 1)
     assert len(depths) > 2
     assert sorted((tuple(r) for r in queries.op4_simhash(spark, sf_dir).collect()), key=str) == slow_components(rows)
+
+
+@pytest.mark.parametrize("doc_id", [None, 8])
+def test_unrelated_rows_without_an_own_id_all_stay(spark, doc_id):
+    texts = ["rivers run down from the hills to the wide grey sea in spring", "nine bright lamps hang over the old wooden bridge by the mill", "she counted every ship that left harbour before the storm came in"]
+    kept = simhash.keep_one(table(spark, [(doc_id, t) for t in texts] + [(doc_id, texts[0])])).collect()
+    assert sorted(r.text for r in kept) == sorted(texts)
