@@ -35,6 +35,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
+_RUN_END, _RUN_START = re.compile(r"(?:[0-9][\x20-]?)*\Z"), re.compile(r"(?:[\x20-]?[0-9])*")
 _TRIGGER = re.compile(r"[0-9@]")
 _NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)++")
 #: The forms that spans added by the tagger must have.
@@ -45,6 +46,9 @@ _FORMS = (
     re.compile(r"(\+?[0-9]{1,3}[ .-]?)?(\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"),
 )
 
+#: By how much the ends of a tagged span may be off, the least first.
+_SHIFTS = sorted(((i, j) for i in range(-2, 3) for j in range(-2, 3)), key=lambda x: (abs(x[0]) + abs(x[1]), x))
+
 
 def luhn(digits: str) -> bool:
     total = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(digits))))
@@ -159,17 +163,52 @@ def reconcile(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
     return out[::-1]
 
 
-def _sound(text: str, s: int, e: int, kind: int) -> tuple[int, int] | None:
-    """The part of a tagged span that has its kind's form, if it stands alone."""
-    m = _FORMS[kind].search(text, max(0, s - 2), min(len(text), e + 2))
-    if not m or m.end() <= s or m.start() >= e:
-        return None
-    a, b = m.span()
+def _valid(text: str, a: int, b: int, kind: int) -> bool:
+    """Whether text[a:b], which has its kind's form, stands alone and holds what its kind must."""
     if (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()):
-        return None
-    if kind == 1 and max(map(int, m[0].split("."))) > 255 or kind == 2 and not luhn(_digits(m[0])) or kind == 3 and not 9 <= len(_digits(m[0])) <= 15:
-        return None
-    return a, b
+        return False
+    return not (kind == 1 and max(map(int, text[a:b].split("."))) > 255 or kind == 2 and not luhn(_digits(text[a:b])) or kind == 3 and not 9 <= len(_digits(text[a:b])) <= 15)
+
+
+def _sound(text: str, s: int, e: int, kind: int) -> tuple[int, int] | None:
+    """The part of a tagged span that has its kind's form, if it stands alone: what is found around the span, else the
+    span itself, else the span with its ends moved a little. (What is found may run into a neighbour across a blank.)"""
+    form = _FORMS[kind]
+    m = form.search(text, max(0, s - 2), min(len(text), e + 2))
+    if m and m.end() > s and m.start() < e and _valid(text, *m.span(), kind):
+        return m.span()
+    for a, b in ((s + i, e + j) for i, j in _SHIFTS):
+        if 0 <= a < b <= len(text) and form.fullmatch(text, a, b) and _valid(text, a, b, kind):
+            return a, b
+    return None
+
+
+def _cards(text: str, s: int, e: int) -> list[tuple[int, int]]:
+    """The numbers in a tagged span that runs over several cards parted by blanks: of all ways to cut its groups of
+    digits, one whose valid numbers hold the most digits."""
+    groups = [(m.start(), m.end()) for m in re.finditer(r"[0-9]+", text[max(0, s - 2) : e + 2])]
+    at, n = max(0, s - 2), len(groups)
+    best: list[tuple[int, list]] = [(0, [])] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        best[i] = best[i + 1]
+        for j in range(i + 1, min(n, i + 19) + 1):
+            a, b = at + groups[i][0], at + groups[j - 1][1]
+            if b - a > 37:
+                break
+            if _FORMS[2].fullmatch(text, a, b) and _valid(text, a, b, 2) and (size := len(_digits(text[a:b])) + best[j][0]) > best[i][0]:
+                best[i] = size, [(a, b), *best[j][1]]
+    return best[0][1]
+
+
+def _parts(text: str, s: int, e: int, kind: int) -> list[tuple[int, int]]:
+    """What a tagged span adds: its sound part; of a card also the valid numbers beside it in one run of digits."""
+    ok = _sound(text, s, e, kind)
+    if kind != 2:
+        return [ok] if ok else []
+    a, b = ok or (s, e)
+    a -= len(_RUN_END.search(text[max(0, a - 80) : a])[0])
+    b += len(_RUN_START.match(text[b : b + 80])[0])
+    return ([ok] if ok else []) + _cards(text, a, b)
 
 
 def all_spans(texts: list[str | None], model: Tagger) -> list[tuple[list[Span], list[Span]]]:
@@ -189,9 +228,10 @@ def all_spans(texts: list[str | None], model: Tagger) -> list[tuple[list[Span],
         taken = [(x[0], x[2]) for x in b]
         added = []
         for s, e, kind in reconcile(found.get(i, [])):
-            if (ok := _sound(texts[i], s, e, kind)) and not any(ok[0] < y and x < ok[1] for x, y in taken):
-                added.append((ok[0], kind, ok[1]))
-                taken.append(ok)
+            for ok in _parts(texts[i], s, e, kind):
+                if not any(ok[0] < y and x < ok[1] for x, y in taken):
+                    added.append((ok[0], kind, ok[1]))
+                    taken.append(ok)
         out.append((b, sorted(b + added)))
     return out
 

@@ -176,12 +176,14 @@ def labelled(count: int, length: int, seed: int) -> tuple[np.ndarray, np.ndarray
     xs, ys, texts = np.zeros((length, count), np.uint8), np.zeros((length, count), np.int8), []
     for col in range(count):
         text, tags = "", []
-        skip = int(r.integers(0, 40))
+        skip, follow = int(r.integers(0, 40)), None
         while len(text) < length + skip:
-            roll, kind = r.random(), int(r.integers(4))
+            roll, kind = (r.random(), int(r.integers(4))) if follow is None else (0, follow)
             piece, k = (makers[kind](), kind) if roll < 0.13 else (other(), None) if roll < 0.28 else (pick([str.lower, str.lower, str.title, str.upper])(letters(1, 10)), None)
             tags += [0] * len(piece) if k is None else [2 * k + 1] + [2 * k + 2] * (len(piece) - 1)
             glue = pick([" ", " ", " ", " ", ", ", ".\n", "\n", ". ", "### ", "&&& ", ": ", ' = "', "!! "])
+            follow = {2: 2, 3: 1}.get(k) if r.random() < 0.2 else None  # a card beside a card, an IP after a phone
+            glue = glue if follow is None else " "
             text, tags = text + piece + glue, tags + [0] * len(glue)
         y = np.array(tags[skip : skip + length], np.int8)
         if y[0] and y[0] % 2 == 0:  # cut at the left edge: it begins here

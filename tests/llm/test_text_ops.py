@@ -148,6 +148,18 @@ def test_tagger_on_held_out_spans():
     assert hit / total > 0.9, (hit, total, made)
 
 
+def test_numbers_beside_each_other_are_found():
+    cards, m = ("7536784127813050", "4845168114407329", "4550997810720808", "7536784127813050"), tagger.trained()
+    for a, b in zip(cards, cards[1:], strict=False):
+        t = f"some words before {a} {b} and some words after"
+        at = [(t.index(x), t.index(x) + 16) for x in (a, b)]
+        assert [pii._sound(t, *x, 2) for x in at] == at
+        ((base, every),) = pii.all_spans([t], m)
+        assert base == [] and every == [(x, 2, y) for x, y in at]
+    t = "some words before +1 (826) 555-4081 190.137.223.204 and some words after"
+    assert pii.masked(t, pii.all_spans([t], m)[0][1]) == "some words before [PHONE] [IP] and some words after"
+
+
 def test_gradients():
     m = tagger.Tagger(hidden=3)
     x, y, _ = tagger.labelled(3, 7, 1)
