@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import shutil
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +21,13 @@ _cleaned: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a local session gets a folder of its own;
+    on a cluster that is an error, as executors would write to their own disks."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="fieldfold-")
@@ -45,25 +49,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/fieldfold/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of queries that nothing refers to any more."""
-    for wait in (0.3, 0.7):  # the cleaner works beside us: what the first round finds goes during the second
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(wait)
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for the queries that run inside, put back afterwards."""
+    names = {k: k.replace("__", ".") for k in values}
+    before = {n: spark.conf.get(n, None) for n in names.values()}
+    for k, v in values.items():
+        spark.conf.set(names[k], v)
+    try:
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
-def materialise(df: DataFrame, name: str, free: bool = True) -> DataFrame:
-    """Cuts the lineage with a Parquet table in the shared folder: it survives lost executors, and the
-    shuffle files before it can go. free: ask for that now (it takes a second), for steps that shuffle much."""
+def materialise(df: DataFrame, name: str, rows_a_batch: int | None = None) -> DataFrame:
+    """Cuts the lineage with a Parquet table in the shared folder: it survives lost executors, and Spark removes the
+    shuffle files of the query once it is written. rows_a_batch: rows that Python workers get at once, where rows are large."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    schema = df.schema
-    del df
-    if free:
-        release(spark)
-    return spark.read.schema(schema).parquet(path)
+    wanted = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
+    if rows_a_batch:
+        wanted["spark__sql__execution__arrow__maxRecordsPerBatch"] = str(rows_a_batch)
+    with settings(spark, **wanted):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -96,6 +106,11 @@ def doc_key(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(NULL_ID))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, doc, k, text: k tells rows of one doc_id and other texts apart; rows equal in both have one key."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("doc"), F.xxhash64(text_of()).alias("k"), text_of().alias("text"))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, whatever the optimiser makes of projections."""
     return F.element_at(F.transform(F.array(value), body), 1)

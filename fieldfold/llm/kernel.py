@@ -26,6 +26,8 @@ def _random_table(seed: int) -> np.ndarray:
 
 
 _BYTES = _random_table(20250101)
+#: A second family of symbols, for names of 128 bits.
+_OTHER = _random_table(20250102)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +115,8 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.nd
     return data, starts, ends, np.searchsorted(starts, offsets, side="left")
 
 
-def word_symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Hashes(_BYTES[data]).at(starts, ends - starts)
+def word_symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
+    return Hashes((_OTHER if other else _BYTES)[data]).at(starts, ends - starts)
 
 
 def word_bags(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -124,8 +126,8 @@ def word_bags(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(sums[ends] - sums[starts])
 
 
-def byte_symbols(data: np.ndarray) -> np.ndarray:
-    return _BYTES[data]
+def byte_symbols(data: np.ndarray, other: bool = False) -> np.ndarray:
+    return (_OTHER if other else _BYTES)[data]
 
 
 def stream(texts: pa.Array, kind: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -139,20 +141,22 @@ def stream(texts: pa.Array, kind: str) -> Iterator[tuple[int, int, np.ndarray, n
 
 
 def winnow(grams: np.ndarray, width: int) -> np.ndarray:
-    """For each run of width grams, the position of the least (the leftmost of equal ones)."""
+    """For each run of width grams, the position of the least (the leftmost of equal ones): whole hashes are compared,
+    so equal runs pick alike wherever they stand."""
     n = len(grams)
     if n < width:
         return np.zeros(0, np.int64)
-    bits = U(max(1, int(n).bit_length()))
-    low = (U(1) << bits) - U(1)
-    key = (grams & ~low) | np.arange(n, dtype=U)
-    span = 1
+    best, span = np.arange(n), 1
+
+    def less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(grams[b] < grams[a], b, a)  # a stands left of b
+
     while span * 2 <= width:
-        key = np.minimum(key[:-span], key[span:])
+        best = less(best[:-span], best[span:])
         span *= 2
     if span < width:
-        key = np.minimum(key[: len(key) - (width - span)], key[width - span :])
-    return (key & low).astype(np.int64)
+        best = less(best[: len(best) - (width - span)], best[width - span :])
+    return best
 
 
 def windows(offsets: np.ndarray, width: int, n: int) -> np.ndarray:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, oracles, packing, pii, quality_rules, repeats, sharding, simhash, token_store
+from . import decontaminate, level_windows, license_scan, oracles, packing, pii, quality_rules, sharding, simhash, suffix_ranks, token_store
 from .common import documents, table
 
 
@@ -29,8 +30,8 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repeats.deduplicate(documents(spark, sf_dir), repeats.BYTES)
-    return out.select("doc_id", out.n.alias("n_bytes"), "n_removed", "n_spans", repeats.sha256("kept").alias("kept_sha256"))
+    out = suffix_ranks.deduplicate(documents(spark, sf_dir))
+    return out.select("doc_id", out.n.alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +43,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repeats.deduplicate(documents(spark, sf_dir), repeats.WORDS)
-    return out.select("doc_id", out.n.alias("n_words"), "n_removed", repeats.sha256("kept").alias("kept_sha256"))
+    out = level_windows.deduplicate(documents(spark, sf_dir))
+    return out.select("doc_id", out.n.alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

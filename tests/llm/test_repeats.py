@@ -3,11 +3,22 @@ import hashlib
 import numpy as np
 import pytest
 
-from fieldfold.llm import queries, repeats
+from fieldfold.llm import blocks, level_windows, queries, suffix_ranks
 
 from .helpers import awkward, empty, table
 
 
+class Spec:
+    def __init__(self, kind, window):
+        self.kind, self.window, self.run = kind, window, (suffix_ranks if kind == "bytes" else level_windows).deduplicate
+
+    def deduplicate(self, df):
+        return self.run(df, self.window)
+
+
+BYTES, WORDS = Spec("bytes", 100), Spec("space", 20)
+
+
 def brute(rows, spec):
     """Removal by a dictionary of first positions; equal (doc, start) are one position."""
     docs = [(-(2**63) if i is None else i, (t or "").encode()) for i, t in rows]
@@ -36,34 +47,34 @@ def got(df):
     return sorted(((r.doc_id, r.n, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("spec", [repeats.BYTES, repeats.WORDS, repeats.Spec("bytes", 7), repeats.Spec("space", 3)])
+@pytest.mark.parametrize("spec", [BYTES, WORDS, Spec("bytes", 7), Spec("space", 3)])
 @pytest.mark.parametrize("seed", [0, 1])
 def test_equals_brute_force(spark, spec, seed):
     r = np.random.default_rng(seed)
     bits = [" ".join(r.choice(["ab", "ba", "c", "dd", "e"], int(r.integers(1, 40)))) for _ in range(12)]
     rows = [(int(i), " ".join(r.choice(bits, int(r.integers(0, 6))))) for i in r.permutation(40)]
     rows += [(50, "z" * 300), (51, "z" * 350), (52, "zy" * 160), (53, " ".join(["w"] * 60))]
-    assert got(repeats.deduplicate(table(spark, rows), spec)) == brute(rows, spec)
+    assert got(spec.deduplicate(table(spark, rows))) == brute(rows, spec)
 
 
-@pytest.mark.parametrize("spec", [repeats.BYTES, repeats.WORDS])
+@pytest.mark.parametrize("spec", [BYTES, WORDS])
 def test_awkward_rows(spark, spec):
     from .helpers import AWKWARD
 
-    assert got(repeats.deduplicate(awkward(spark), spec)) == brute(AWKWARD, spec)
-    assert repeats.deduplicate(empty(spark), spec).count() == 0
-
+    assert got(spec.deduplicate(awkward(spark))) == brute(AWKWARD, spec)
+    assert spec.deduplicate(empty(spark)).count() == 0
 
-def test_pieces_of_a_stream_change_nothing(spark, monkeypatch):
-    from fieldfold.llm import kernel
 
-    rows = [(i, f"{'shared passage of some length, ' * 6}{i}") for i in range(30)]
-    whole = brute(rows, repeats.BYTES)
-    monkeypatch.setattr(kernel, "PIECE", 500)
-    assert got(repeats.deduplicate(table(spark, rows), repeats.BYTES)) == whole
+@pytest.mark.parametrize("spec", [BYTES, WORDS])
+def test_small_blocks_and_segments_change_nothing(spark, monkeypatch, spec):
+    rows = [(i, f"{'shared passage of some length, ' * (6 + i)}{i}") for i in range(30)]
+    monkeypatch.setattr(blocks, "BLOCK", 700)
+    monkeypatch.setattr(blocks, "SEGMENT", {"bytes": 150, "space": 30})
+    monkeypatch.setattr(blocks, "BUCKET", 50)
+    assert got(spec.deduplicate(table(spark, rows))) == brute(rows, spec)
 
 
-@pytest.mark.parametrize(("name", "spec"), [("op3_suffix_array_dedup", repeats.BYTES), ("op7_substring_dedup", repeats.WORDS)])
+@pytest.mark.parametrize(("name", "spec"), [("op3_suffix_array_dedup", BYTES), ("op7_substring_dedup", WORDS)])
 def test_query_on_the_table(spark, sf_dir, name, spec):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     out = queries.queries()[name](spark, sf_dir).collect()
