@@ -1,8 +1,9 @@
 """Exact tokenisation of whole texts, with the ids of blank-separated chunks cached.
 
 Both vocabularies split a text at white space before merging, so where every white space stands alone a text
-can be encoded chunk by chunk; a text with runs of white space goes through the tokenizer whole. Ids come from
-the tokenizers library either way.
+can be encoded chunk by chunk; a text with runs of white space goes through the tokenizer whole, and so does a text
+that may hold one of the vocabulary's added tokens, which the library finds before anything else. Ids come from the
+tokenizers library, with its own settings, either way: a string like <|endoftext|> in a text gets that token's id.
 """
 
 from __future__ import annotations
@@ -66,8 +67,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.leading = leading
+        #: What any text with an added token holds: marks that no normaliser makes of something else.
+        self.openings = sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.chunks = _Chunks(self.whole, not leading)
         self.newline = self.whole("\n")
         self.chunks[""] = b""
@@ -82,6 +84,8 @@ class Encoder:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if any(x in text for x in self.openings):
+            return self.whole(text)
         c = self.chunks
         if not self.leading:
             if _latin(text):

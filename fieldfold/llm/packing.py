@@ -145,8 +145,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENCE)
             yield batch()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a hash of the document stands below the key, so that equal keys (copies) still spread over ranges
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").bitwiseAND(F.lit(0x7FFFFFFF)).alias("tie"))
+    # a hash of the row's number stands below the key, so that equal keys (copies, rows repeated id and all) still spread
+    # over ranges and the sample takes its share of them; a task that runs again reads the same rows under the same numbers
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(0x7FFFFFFF)).alias("tie"))
     every = max(1, docs.count() // BOUNDS)
     # the sample only balances the ranges; all rows are keyed and packed once
     found = rows.where(F.col("tie") % every == 0).limit(4 * BOUNDS).mapInArrow(sampled, "place long, size long").collect()

@@ -34,6 +34,8 @@ from .encode import encoder as encoder_of
 from .kernel import slices
 
 FRAME_BYTES = 1 << 18
+#: Bytes of ids, and documents, after which a partition goes on in a new file: its index is held in memory.
+FILE_BYTES, FILE_DOCS = 1 << 28, 1 << 18
 INDEX_MAGIC, TABLE_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
 
@@ -121,31 +123,39 @@ def _open(path: str):
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, leading: bool = False) -> list[tuple[str, int, int]]:
     """Writes the files; returns (path, documents, ids) of each file in order: a row a file."""
 
+    schema = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
+
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder, end = encoder_of(tokenizer, leading), struct.pack("<I", end_id)
-        part, writer, total = TaskContext.get().partitionId(), None, 0
-        path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.zst"
-        for batch in batches:
-            if writer is None and batch.num_rows:
-                fs, inner = _open(path)
-                fs.create_dir(inner.rpartition("/")[0], recursive=True)
-                writer = Writer(fs.open_output_stream(inner, compression=None))
-            for part_of in slices(batch):
-                for doc_id, text in zip(part_of.column(0).to_pylist(), part_of.column(1).to_pylist(), strict=True):
-                    ids = encoder.encode(text) + end
-                    total += len(ids) // 4
-                    writer.add(doc_id, ids)
-        if writer is not None:
+        part, number, writer, path, size = TaskContext.get().partitionId(), 0, None, "", 0
+
+        def closed() -> pa.RecordBatch:
             writer.close()
             writer.sink.close()
-            yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "docs": [len(writer.ids)], "ids": [total]}, pa.schema([("part", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
+            return pa.RecordBatch.from_pydict({"part": [part], "number": [number], "path": [path], "docs": [len(writer.ids)], "ids": [size // 4]}, schema)
+
+        for part_of in (p for batch in batches for p in slices(batch, 64)):
+            for doc_id, text in zip(part_of.column(0).to_pylist(), part_of.column(1).to_pylist(), strict=True):
+                if writer is None:
+                    path = f"{folder}/part-{part:06d}-{number:06d}-{uuid.uuid4().hex}.zst"
+                    fs, inner = _open(path)
+                    fs.create_dir(inner.rpartition("/")[0], recursive=True)
+                    writer, size = Writer(fs.open_output_stream(inner, compression=None)), 0
+                ids = encoder.encode(text) + end
+                size += len(ids)
+                writer.add(doc_id, ids)
+                if size >= FILE_BYTES or len(writer.ids) >= FILE_DOCS:
+                    yield closed()
+                    writer, number = None, number + 1
+        if writer is not None:
+            yield closed()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"), "text")
-            .mapInArrow(save, "part int, path string, docs long, ids long").collect())
-    return [(r.path, r.docs, r.ids) for r in sorted(rows, key=lambda r: r.part)]
+            .mapInArrow(save, "part int, number int, path string, docs long, ids long").collect())
+    return [(r.path, r.docs, r.ids) for r in sorted(rows, key=lambda r: (r.part, r.number))]
 
 
 def read(spark, files: list[tuple[str, int, int]]) -> DataFrame:
