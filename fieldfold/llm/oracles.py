@@ -11,7 +11,7 @@ def _words(text: str, breaks: str) -> str:
 
 def sharding(limit: int) -> str:
     """A document's shard is its shortest hash prefix whose documents fit the limit or can't be told apart."""
-    return f"""WITH d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, lpad(bin(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT)), 60, '0') AS bits FROM documents),
+    return f"""WITH d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, lpad(bin(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 9) || substr(md5(coalesce(text, '')), 1, 6) AS BIGINT)), 60, '0') AS bits FROM documents),
 e AS (SELECT d.*, CAST(r.depth AS INTEGER) AS depth, substr(bits, 1, r.depth) AS shard FROM d, range(0, 61) r(depth)),
 n AS (SELECT depth, shard, sum(n_bytes) AS b, min(bits) = max(bits) AS single FROM e GROUP BY depth, shard),
 f AS (SELECT e.doc_id, e.n_bytes, e.depth, e.shard, CAST(n.b AS BIGINT) AS b, row_number() OVER (PARTITION BY e.doc_id ORDER BY e.depth) AS r FROM e JOIN n USING (depth, shard) WHERE n.b <= {limit} OR n.single OR e.depth = 60)
