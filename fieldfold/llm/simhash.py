@@ -1,21 +1,27 @@
 """SimHash near-duplicates by a binary trie self-join.
 
-Fingerprints are made in one pass over the texts. Equal fingerprints are one trie leaf, however many documents
-have them. The trie's upper nodes are dealt to tasks (nodes of too many fingerprints are split further): every pair
-of nodes that differ in at most 3 bits is one task, which walks both subtrees together, a bit a level: a pair of nodes has the differing bits so far, and
-goes once they exceed the budget, once either is empty, or once all below is one component anyway. A task
-returns a spanning forest of its links, and Spark joins the forests to components.
-
-Defined cases: a null text is empty; a text without words has fingerprint zero and is linked like any other;
-repeated rows have one fingerprint and so one component; a null doc_id gets a component but never names one
-unless it has no other; an empty table gives no rows; other columns are ignored by `near_duplicates` and kept
-by `keep_one`.
+Fingerprints that differ in at most three bits agree wholly on one of four quarters of their bits. So each fingerprint is
+dealt four times, by a quarter's number and bits, whatever the size of the corpus; a group that is still too large is dealt
+again, twice at most, by quarters of the bits that its members don't share yet. A task walks the tries of its groups: pairs of nodes go down
+together, a bit a level, with the differing bits so far, and go once these exceed the budget, once either node is empty,
+or once all below is one component anyway; nodes of few fingerprints are compared one by one. A task returns a spanning
+forest of its links, and Spark joins the forests to components.
+
+`report` links fingerprints of three-word shingles at three bits. `keep_one` finds near copies, texts of five-word
+shingles alike by 0.8 or more: those whose sketches of WIDE x 64 bits of five-word shingles differ in WIDE_APART bits at
+most. Such texts differ by few words, so their candidates are pairs within three bits in one of TABLES fingerprints of
+single words, each found by the trie join; a pair's sketches are compared where it is found, and no pair leaves a task
+but as a link of the forest.
+
+Defined cases: a null text is empty; texts without words are copies of each other (fingerprint zero in `report`, linked
+like any other); repeated rows have one fingerprint and so one component; a null doc_id gets a component but never names
+one unless it has no other; an empty table gives no rows; other columns are ignored by `near_duplicates` and kept as they
+are, whatever their names, by `keep_one`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +29,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, materialise, text_of
+from . import kernel
+from .common import doc_key, drop, materialise, text_of
 from .components import components
 from .kernel import slices
 
 SEED, SHINGLE, BITS_APART = 42, 3, 3
-#: Distinct fingerprints below one node dealt to tasks at most; the least and most bits to begin with; bits to split by.
-A_NODE, LEAST_BITS, MOST_BITS, STEP = 1 << 15, 6, 20, 6
+#: Near copies: words of a shingle, 64-bit words of a sketch, the bits that it may differ in (similarity 0.8 expects 39 of
+#: 256, texts of no relation some 120), and the fingerprints of single words in which candidates are looked for.
+ALIKE_SHINGLE, WIDE, WIDE_APART, TABLES = 5, 4, 44, 5
+#: Fingerprints in a group at most (larger groups are dealt again), rows that one task walks at once, about, and pairs of
+#: fingerprints below a pair of nodes that are compared one by one.
+A_GROUP, A_TASK, FEW = 1 << 15, 1 << 17, 64
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _PLACE = (np.arange(8) * 256).astype(np.int64)
 
@@ -56,14 +67,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, k (tells rows of one id apart), f (the fingerprint as a signed long)."""
+    """doc_id, f (the fingerprint as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = np.array([fingerprint(t) for part in slices(b) for t in part.column(2).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f.view(np.int64))], ["doc_id", "k", "f"])
+            f = np.array([fingerprint(t) for part in slices(b) for t in part.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f.view(np.int64))], ["doc_id", "f"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("k"), "text").mapInArrow(run, "doc_id long, k long, f long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, f long")
 
 
 class _Forest:
@@ -91,129 +102,136 @@ class _Forest:
         self._count()
 
     def joined(self, a0, a1, b0, b1) -> np.ndarray:
+        """Whether all of two ranges is one component."""
         c = self.changes
         return (c[a0] == c[a1 - 1]) & (c[b0] == c[b1 - 1]) & (self.root[a0] == self.root[b0])
 
 
-def trie_join(sorted_f: np.ndarray, ranges: tuple[int, int, int, int], depth: int, apart: int, chunk: int = 1 << 17) -> np.ndarray:
-    """The component root (a position) of each position of the sorted fingerprints, by the links within apart bits
-    between the trie nodes [a0, a1) and [b0, b1) at a depth (the same node: within it)."""
-    forest = _Forest(len(sorted_f))
-    ones: dict[int, np.ndarray] = {}
-
-    def split(lo, hi, d):
-        if d not in ones:
-            ones[d] = np.concatenate([[0], np.cumsum((sorted_f >> np.uint64(63 - d)) & np.uint64(1))]).astype(np.int64)
-        return hi - (ones[d][hi] - ones[d][lo])
-
-    a0, a1, b0, b1 = (np.array([x]) for x in ranges)
-    done = int(np.bitwise_count(np.uint64((int(sorted_f[ranges[0]]) ^ int(sorted_f[ranges[2]])) >> (64 - depth)))) if depth and ranges[1] > ranges[0] and ranges[3] > ranges[2] else 0
-    stack = [(depth, a0, a1, b0, b1, np.array([done]))]
-    while stack:
-        d, a0, a1, b0, b1, diff = stack.pop()
-        keep = (a1 > a0) & (b1 > b0) & (diff <= apart)
-        same = (a0 == b0) & (a1 == b1)
-        keep &= ~(same & (a1 - a0 == 1))
-        keep &= ~forest.joined(np.minimum(a0, len(sorted_f) - 1), np.maximum(a1, 1), np.minimum(b0, len(sorted_f) - 1), np.maximum(b1, 1))
-        a0, a1, b0, b1, diff, same = (x[keep] for x in (a0, a1, b0, b1, diff, same))
-        if d == 64:
-            single = np.ones(len(a0), bool)
-        else:
-            single = (a1 - a0 == 1) & (b1 - b0 == 1)
-        if single.any():
-            x, y = a0[single], b0[single]
-            near = np.bitwise_count(sorted_f[x] ^ sorted_f[y]) <= apart
-            if near.any():
-                forest.link(x[near], y[near])
-            a0, a1, b0, b1, diff, same = (v[~single] for v in (a0, a1, b0, b1, diff, same))
-        if not len(a0):
-            continue
-        am, bm = split(a0, a1, d), split(b0, b1, d)
-        far = (np.concatenate([a0, am[~same]]), np.concatenate([am, a1[~same]]), np.concatenate([bm, b0[~same]]), np.concatenate([b1, bm[~same]]), np.concatenate([diff, diff[~same]]) + 1)
-        near = (np.concatenate([a0, am]), np.concatenate([am, a1]), np.concatenate([b0, bm]), np.concatenate([bm, b1]), np.concatenate([diff, diff]))
-        for group in (far, near):  # near pairs are walked first: they join what then need not be compared
-            for i in range(0, len(group[0]), chunk):
-                stack.append((d + 1, *(v[i : i + chunk] for v in group)))
-    return forest.root
-
-
-def _bits(depth: int) -> list[int]:
-    """All differences of up to BITS_APART bits over a prefix, as signed longs."""
-    out = [sum(1 << i for i in c) for r in range(BITS_APART + 1) for c in combinations(range(depth), r)]
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in out]
-
-
-def _prefix(depth: int):
-    return F.shiftrightunsigned(F.col("f"), 64 - depth)
-
-
-def leaf_nodes(distinct: DataFrame, depth: int) -> tuple[DataFrame, list[int]]:
-    """(depth, prefix) of the trie nodes dealt to tasks, and their depths: nodes of more than A_NODE fingerprints are
-    split STEP bits further, so that a dense ball of fingerprints spreads over many tasks."""
-    out, depths, open_ = None, [], distinct.select("f")
-    while True:
-        counts = materialise(open_.groupBy(_prefix(depth).alias("prefix")).count(), "trie-nodes", False)
-        fits = counts.where((F.col("count") <= A_NODE) | F.lit(depth == 64)).select(F.lit(depth).alias("depth"), "prefix")
-        out = fits if out is None else out.unionByName(fits)
-        depths.append(depth)
-        large = counts.where((F.col("count") > A_NODE) & F.lit(depth < 64)).select("prefix")
+class Walk:
+    """The links among groups of fingerprints: f sorted within each group [cuts[i], cuts[i + 1]). wide: sketches (rows) that
+    must differ in wide_apart bits at most, too."""
+
+    def __init__(self, f: np.ndarray, cuts: np.ndarray, apart: int, wide: np.ndarray | None = None, wide_apart: int = 0, chunk: int = 1 << 17):
+        self.f, self.cuts, self.apart, self.wide, self.wide_apart, self.chunk = f, cuts, apart, wide, wide_apart, chunk
+        self.forest = _Forest(len(f))
+        self.ones: dict[int, np.ndarray] = {}
+
+    def _split(self, lo: np.ndarray, hi: np.ndarray, d: int) -> np.ndarray:
+        """Where the ones of bit d begin in nodes [lo, hi)."""
+        if d not in self.ones:
+            self.ones[d] = np.concatenate([[0], np.cumsum((self.f >> np.uint64(63 - d)) & np.uint64(1))]).astype(np.int64)
+        ones = self.ones[d]
+        return hi - (ones[hi] - ones[lo])
+
+    def _compare(self, a0, a1, b0, b1) -> None:
+        """Compares all fingerprints of pairs of nodes, some pairs at a time."""
+        left, right = a1 - a0, b1 - b0
+        count = left * right
+        edge = np.concatenate([[0], np.cumsum(count)])
+        for i in range(0, int(edge[-1]), self.chunk):
+            j = np.arange(i, min(i + self.chunk, int(edge[-1])))
+            node = np.searchsorted(edge, j, side="right") - 1
+            at = j - edge[node]
+            x, y = a0[node] + at // right[node], b0[node] + at % right[node]
+            ahead = self.forest.root[x] != self.forest.root[y]
+            x, y = x[ahead], y[ahead]
+            near = np.bitwise_count(self.f[x] ^ self.f[y]) <= self.apart
+            x, y = x[near], y[near]
+            if self.wide is not None and len(x):
+                near = np.bitwise_count(self.wide[x] ^ self.wide[y]).sum(1) <= self.wide_apart
+                x, y = x[near], y[near]
+            if len(x):
+                self.forest.link(x, y)
+
+    def roots(self) -> np.ndarray:
+        """The component root (a position) of each position."""
+        a0, a1 = self.cuts[:-1], self.cuts[1:]
+        stack = [(0, a0[i : i + self.chunk], a1[i : i + self.chunk], a0[i : i + self.chunk], a1[i : i + self.chunk], np.zeros(len(a0[i : i + self.chunk]), np.int64)) for i in range(0, len(a0), self.chunk)]
+        while stack:
+            d, a0, a1, b0, b1, diff = stack.pop()
+            same = a0 == b0
+            keep = (a1 > a0) & (b1 > b0) & (diff <= self.apart) & ~(same & (a1 - a0 == 1))
+            a0, a1, b0, b1, diff = (x[keep] for x in (a0, a1, b0, b1, diff))
+            if not len(a0):
+                continue
+            keep = ~self.forest.joined(a0, a1, b0, b1)
+            a0, a1, b0, b1, diff = (x[keep] for x in (a0, a1, b0, b1, diff))
+            few = (a1 - a0) * (b1 - b0) <= FEW
+            if d == 64:
+                few[:] = True
+            if few.any():
+                self._compare(a0[few], a1[few], b0[few], b1[few])
+                a0, a1, b0, b1, diff = (x[~few] for x in (a0, a1, b0, b1, diff))
+            if not len(a0):
+                continue
+            same = a0 == b0
+            am, bm = self._split(a0, a1, d), self._split(b0, b1, d)
+            far = (np.concatenate([a0, am[~same]]), np.concatenate([am, a1[~same]]), np.concatenate([bm, b0[~same]]), np.concatenate([b1, bm[~same]]), np.concatenate([diff, diff[~same]]) + 1)
+            near = (np.concatenate([a0, am]), np.concatenate([am, a1]), np.concatenate([b0, bm]), np.concatenate([bm, b1]), np.concatenate([diff, diff]))
+            for group in (far, near):  # near pairs are walked first: they join what then need not be compared
+                for i in range(0, len(group[0]), self.chunk):
+                    stack.append((d + 1, *(v[i : i + self.chunk] for v in group)))
+        return self.forest.root
+
+
+def trie_join(sorted_f: np.ndarray, apart: int, chunk: int = 1 << 17) -> np.ndarray:
+    """The component root (a position) of each of the sorted fingerprints, by links within apart bits."""
+    return Walk(sorted_f, np.array([0, len(sorted_f)]), apart, chunk=chunk).roots()
+
+
+def _masks(shift: int) -> list[int]:
+    """The 64 bits in four masks, by two bits of their number, as signed longs."""
+    each = [sum(1 << p for p in range(64) if p >> shift & 3 == i) for i in range(4)]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in each]
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows (f and more) with key: each row four times, by the bits of a quarter of f. Rows of groups over A_GROUP are dealt
+    again by quarters of the 48 bits that the group doesn't share, and once more by quarters of the 36 left."""
+    open_, out = rows.withColumns({"key": F.lit(0).cast("long"), "free": F.lit(-1).cast("long")}), None
+    for shift in (4, 0, 2):
+        parts = [F.struct(F.xxhash64("key", F.lit(shift + i), F.col("f").bitwiseAND(F.lit(m)).bitwiseAND(F.col("free"))).alias("key"), F.col("free").bitwiseAND(F.lit(~m)).alias("free")) for i, m in enumerate(_masks(shift))]
+        open_ = open_.select(*rows.columns, F.explode(F.array(*parts)).alias("to")).select(*rows.columns, "to.*")
+        if shift == 2:
+            break
+        large = materialise(open_.groupBy("key").count().where(F.col("count") > A_GROUP).select("key"), "large-groups")
         if large.limit(1).count() == 0:
-            return out, depths
-        open_ = open_.withColumn("prefix", _prefix(depth)).join(large, "prefix", "left_semi").select("f")
-        depth = min(64, depth + STEP)
-
-
-def node_pairs(leaves: DataFrame, depths: list[int]) -> DataFrame:
-    """da, pa, db, pb: the pairs of leaves, each once, whose prefixes differ in BITS_APART bits at most over the
-    shallower depth db."""
-    out = None
-    for db in depths:
-        a = leaves.where(F.col("depth") >= db).select(F.col("depth").alias("da"), F.col("prefix").alias("pa"))
-        near = a.withColumn("m", F.explode(F.array(*map(F.lit, _bits(db))))).withColumn("pb", F.expr(f"shiftrightunsigned(pa, da - {db})").bitwiseXOR(F.col("m")))
-        b = leaves.where(F.col("depth") == db).select(F.col("depth").alias("db"), F.col("prefix").alias("pb"))
-        found = near.join(b, "pb").where((F.col("da") > F.col("db")) | (F.col("pa") >= F.col("pb"))).select("da", "pa", "db", "pb")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _join_nodes(key, rows: pa.Table) -> pa.Table:
-    f = np.sort(rows.column("f").to_numpy().view(np.uint64))
-    da, pa_, db, pb = (k.as_py() for k in key)
+            break
+        fits = open_.join(large, "key", "left_anti").select(*rows.columns, "key", "free")
+        out = fits if out is None else out.unionByName(fits)
+        open_ = open_.join(large, "key", "left_semi")
+    return (open_ if out is None else out.unionByName(open_)).drop("free")
 
-    def edges(depth: int, prefix: int) -> tuple[int, int]:
-        top = f >> np.uint64(64 - depth)
-        node = np.uint64(prefix & (2**64 - 1))
-        return int(np.searchsorted(top, node)), int(np.searchsorted(top, node, side="right"))
 
-    root = trie_join(f, (*edges(da, pa_), *edges(db, pb)), db, BITS_APART)
-    linked = np.flatnonzero(root != np.arange(len(f)))
-    return pa.table({"a": f[linked].view(np.int64), "b": f[root[linked]].view(np.int64)})
+def links(rows: DataFrame, apart: int, wide_apart: int | None = None) -> DataFrame:
+    """A spanning forest (a, b) over node of the links between rows (node, f, and sketches w0 .. where wide_apart is given)."""
+    wide = [c for c in rows.columns if c.startswith("w")]
+    groups = dealt(rows)
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-4 * rows.count() // A_TASK))
 
+    def walk(table: pa.Table) -> pa.Table:
+        f, key = table.column("f").to_numpy().view(np.uint64), table.column("key").to_numpy()
+        order = np.lexsort((f, key))
+        f, key, node = f[order], key[order], table.column("node").to_numpy()[order]
+        cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        sketch = np.stack([table.column(c).to_numpy().view(np.uint64)[order] for c in wide], 1) if wide_apart is not None else None
+        root = Walk(f, cuts, apart, sketch, wide_apart or 0).roots()
+        linked = np.flatnonzero(root != np.arange(len(f)))
+        return pa.table({"a": node[linked], "b": node[root[linked]]})
 
-def links(distinct: DataFrame, depth: int) -> DataFrame:
-    """A spanning forest (a, b) of the links between distinct fingerprints f."""
-    leaves, depths = leaf_nodes(distinct, depth)
-    pairs = materialise(node_pairs(leaves, depths), "trie-pairs", False)
-    each = distinct.select("f", F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), _prefix(d).alias("prefix")) for d in depths))).alias("n")).select("f", "n.*")
-    if len(depths) > 1:
-        each = each.join(leaves, ["depth", "prefix"], "left_semi")
-    left = each.join(pairs, (each.depth == pairs.da) & (each.prefix == pairs.pa)).select("f", "da", "pa", "db", "pb")
-    right = each.join(pairs.where("da <> db or pa <> pb"), (each.depth == F.col("db")) & (each.prefix == F.col("pb"))).select("f", "da", "pa", "db", "pb")
-    return left.unionByName(right).groupBy("da", "pa", "db", "pb").applyInArrow(lambda key, rows: _join_nodes(key, rows), "a long, b long")
+    return groups.withColumn("task", F.pmod("key", F.lit(parts))).groupBy("task").applyInArrow(walk, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, k, f, root (the component's least fingerprint), component_id: the smallest doc_id that links reach (null
-    where none has one; repeated doc_ids can give several components the same)."""
-    of_docs = materialise(fingerprints(docs), "fingerprints", False)
-    distinct = materialise(of_docs.groupBy("f").agg(F.min("doc_id").alias("d")), "distinct-fingerprints", False)
-    n = max(1, distinct.count())
-    depth = min(MOST_BITS, max(LEAST_BITS, (n // A_NODE).bit_length()))
-    found = components(materialise(links(distinct.select("f"), depth), "links"))
+    """doc_id, f, component_id: the smallest doc_id that links reach (null where none has one; repeated doc_ids can give
+    several components the same)."""
+    of_docs = materialise(fingerprints(docs), "fingerprints")
+    distinct = materialise(of_docs.groupBy("f").agg(F.min("doc_id").alias("d")), "distinct-fingerprints")
+    found = components(materialise(links(distinct.select(F.col("f").alias("node"), "f"), BITS_APART), "links"))
     rooted = distinct.join(found, distinct.f == found.node, "left").select("f", "d", F.coalesce("root", "f").alias("root"))
     named = rooted.groupBy("root").agg(F.min("d").alias("component_id"))
-    of_f = materialise(rooted.join(named, "root").select("f", "root", "component_id"), "components-named", False)
-    return of_docs.join(of_f, "f").select("doc_id", "k", "f", "root", "component_id")
+    of_f = rooted.join(named, "root").select("f", "component_id")
+    return of_docs.join(of_f, "f").select("doc_id", "f", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -221,14 +239,69 @@ def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _bits(features: np.ndarray, first: np.ndarray, n: np.ndarray, seed: int) -> np.ndarray:
+    """The fingerprint of each row's features [first, first + n): a bit is set where over half of them have it."""
+    out = np.zeros(len(n), np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        bits = np.unpackbits(kernel.mix(features ^ np.uint64(seed)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        counts = np.add.reduceat(bits, first[some], axis=0, dtype=np.int32)
+        out[some] = np.packbits(counts * 2 > n[some, None], axis=1).view(">u8").ravel()
+    return out
+
+
+_SEEDS = np.random.default_rng(20250103).integers(0, 2**63, 64).tolist()
+
+
+def sketches(texts: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(first row, end row, [TABLES fingerprints of words, WIDE words of the sketch of shingles]) of runs of texts, A-Z in
+    lower case."""
+    for row, end, data, offsets in kernel.pieces(texts):
+        data, starts, ends, at = kernel.word_bounds(kernel.lower(data), offsets, "space")
+        words = kernel.word_symbols(data, starts, ends)
+        n = np.diff(at)
+        hashes = kernel.Hashes(words)
+        m = np.where(n >= ALIKE_SHINGLE, n - ALIKE_SHINGLE + 1, np.minimum(n, 1))
+        first = np.cumsum(m) - m
+        owner = np.repeat(np.arange(end - row), m)
+        place = at[owner] + np.arange(len(owner)) - first[owner]
+        shingles = hashes.at(place, np.minimum(ALIKE_SHINGLE, n[owner]))
+        yield row, end, [_bits(words, at[:-1], n, s) for s in _SEEDS[:TABLES]] + [_bits(shingles, first, m, s) for s in _SEEDS[TABLES : TABLES + WIDE]]
+
+
+def sketched(docs: DataFrame) -> DataFrame:
+    """node (a hash of a text's sketches), w0 .., f0 .. of the distinct sketches, and of every document (doc, k) its node."""
+    names = [*(f"f{i}" for i in range(TABLES)), *(f"w{i}" for i in range(WIDE))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in slices(batch, 1024)):
+            doc, k = b.column(0), b.column(1)
+            for row, end, found in sketches(b.column(2)):
+                yield pa.RecordBatch.from_arrays([doc.slice(row, end - row), k.slice(row, end - row), *(pa.array(x.view(np.int64)) for x in found)], ["doc", "k", *names])
+
+    out = docs.select(doc_key().alias("doc"), F.xxhash64(text_of()).alias("k"), text_of().alias("text")).mapInArrow(run, "doc long, k long, " + ", ".join(f"{c} long" for c in names))
+    return out.withColumn("node", F.xxhash64(*names))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc, k, root: documents (by doc_id and text hash) with the node that names their group of near copies."""
+    of_docs = materialise(sketched(docs), "sketches")
+    nodes = materialise(of_docs.drop("doc", "k").dropDuplicates(["node"]), "distinct-sketches")
+    wide, forest = [f"w{i}" for i in range(WIDE)], None
+    for i in range(TABLES):
+        found = materialise(links(nodes.select("node", F.col(f"f{i}").alias("f"), *wide), BITS_APART, WIDE_APART), "links")
+        forest = found if forest is None else forest.unionByName(found)
+    found = components(forest.distinct())
+    drop(nodes)
+    return of_docs.select("doc", "k", "node").join(found, "node", "left").select("doc", "k", F.coalesce("root", "node").alias("root"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document of each component with the smallest doc_id (of rows that share it, the one of least text hash,
-    once), with all its columns."""
-    found = near_duplicates(docs)
-    best = found.groupBy("root").agg(F.min(F.struct(doc_key().alias("d"), "k")).alias("b")).select("b.d", F.col("b.k").alias("bk"))
-    base = docs.withColumns({"_d": doc_key(), "_k": F.xxhash64(text_of())})
-    kept = base.join(best, (base._d == best.d) & (base._k == best.bk), "left_semi")
-    twice = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    if twice:
-        kept = kept.dropDuplicates(["_d", "_k"])
-    return kept.select(*docs.columns)
+    """The document of each group of near copies with the smallest doc_id (of rows that share it, the one of least text
+    hash, once), with all its columns."""
+    best = near_copies(docs).groupBy("root").agg(F.min(F.struct("doc", "k")).alias("key")).select("key")
+    rows = docs.select(F.struct("*").alias("row"), F.struct(doc_key().alias("doc"), F.xxhash64(text_of()).alias("k")).alias("key"))
+    kept = rows.join(best, "key", "left_semi")
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.groupBy("key").agg(F.first("row").alias("row"))
+    return kept.select("row.*")
