@@ -7,7 +7,7 @@ and that runs as one CASE expression; statistics and verdict use built-in functi
 
 Defined cases: a null text has no words; a null label or a label without a document isn't used for training;
 with no usable labels, or labels of one class, the list is empty and only the base rule decides; repeated
-documents each get their own row; columns beyond doc_id and text are ignored by `judge` and kept by
+documents each get their own row, and count once in training (the text of least hash where texts differ); columns beyond doc_id and text are ignored by `judge` and kept by
 `keep_good`.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import let, space_words, text_of
 
-#: Most labelled rows that the driver fits on; the sample is the rows of least hash, so it is the same each time.
+#: Most labelled documents that the driver fits on; the sample is the ids of least hash, so it is the same each time.
 MAX_LABELLED = 20_000
 #: The least share of rejected rows that must be bad on the pruning rows.
 MIN_PRECISION = 0.97
@@ -186,7 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     sample = (labels.select(F.col("doc_id"), F.col("quality")).where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
     s = let(statistics(text_of()), lambda s: F.struct(base_failed(s).alias("base"), F.array(*features(s).values()).alias("x")))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select((F.col("quality") == 0).alias("bad"), F.xxhash64("doc_id").alias("h"), s.alias("s"))
+    # of rows that share a labelled id the text of least hash is taken, so that no more rows are gathered than were sampled
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min_by("text", F.xxhash64(text_of())).alias("text"))
+    rows = texts.select((F.col("quality") == 0).alias("bad"), F.xxhash64("doc_id").alias("h"), s.alias("s"))
     got = [(r.h, r.s.x, r.bad) for r in rows.collect() if not r.s.base]
     if not got:
         return DecisionList()
