@@ -1,9 +1,8 @@
 """Personal data: fixed patterns, and spans that a trained character tagger adds.
 
-Every text is covered by overlapping windows; each is decoded by a bidirectional LSTM with CRF transitions,
-and the windows' spans are reconciled over the whole text: spans of a kind that overlap between windows are
-one, then the set of spans that don't overlap and weigh most is kept (by the tagger's margins). Every kind
-holds a digit or an @, so a window without either can't hold a whole span and isn't decoded. Added spans must
+Every text is covered by overlapping windows, and every window is decoded by a bidirectional LSTM with CRF
+transitions; the windows' spans are reconciled over the whole text: spans of a kind that overlap between windows are
+one, then the set of spans that don't overlap and weigh most is kept (by the tagger's margins). Added spans must
 have the form of their kind, and never touch a span of the patterns.
 
 Defined cases: a null text is empty and has no spans; repeated rows get equal results; a null doc_id stays
@@ -26,7 +25,7 @@ from .common import text_of
 from .kernel import slices
 from .tagger import KINDS, Tagger, classes, trained
 
-WIDTH, STEP = 96, 64
+WIDTH, STEP = 512, 464
 Span = tuple[int, int, int]  # start, kind, end
 
 # The patterns of the base kinds.
@@ -101,27 +100,27 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-def window_starts(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or an @; together all windows cover the text."""
-    out: dict[int, None] = {}
-    for m in _TRIGGER.finditer(text):
-        last = m.start() // STEP
-        for k in range(max(0, (m.start() - WIDTH) // STEP + 1), last + 1):
-            out[k * STEP] = None
-    return list(out)
+def window_starts(length: int) -> range:
+    """Starts of the windows that cover a text: neighbours share WIDTH - STEP characters."""
+    return range(0, max(1, length - (WIDTH - STEP)), STEP) if length else range(0)
 
 
 def window_spans(model: Tagger, codes: list[np.ndarray]) -> list[list[tuple[int, int, int, float]]]:
     """start, end, kind, weight of the spans of each window (in its own positions)."""
-    out = []
+    out: list[list] = [[] for _ in codes]
+    order = sorted(range(len(codes)), key=lambda i: len(codes[i]))  # windows of like length together
     for i in range(0, len(codes), 512):
-        part = codes[i : i + 512]
-        x = np.full((WIDTH, len(part)), 9, np.uint8)
+        here = order[i : i + 512]
+        part = [codes[j] for j in here]
+        x = np.full((len(part), max(map(len, part))), 9, np.uint8)
         for j, c in enumerate(part):
-            x[: len(c), j] = c
-        tags, margin = model.decode(x)
+            x[j, : len(c)] = c
+        tags, margin = model.decode(np.ascontiguousarray(x.T))
+        tagged = tags.any(0)
         for j, c in enumerate(part):
-            t, m, spans, at = tags[: len(c), j], margin[: len(c), j], [], 0
+            if not tagged[j]:
+                continue
+            t, m, spans, at = tags[: len(c), j], margin[: len(c), j], out[here[j]], 0
             while at < len(t):
                 if t[at] == 0:
                     at += 1
@@ -131,7 +130,6 @@ def window_spans(model: Tagger, codes: list[np.ndarray]) -> list[list[tuple[int,
                     end += 1
                 spans.append((at, end, kind, float(m[at:end].sum())))
                 at = end
-            out.append(spans)
     return out
 
 
@@ -216,10 +214,10 @@ def all_spans(texts: list[str | None], model: Tagger) -> list[tuple[list[Span],
     base = [base_spans(t or "") for t in texts]
     places, codes = [], []
     for i, t in enumerate(texts):
-        if t and (starts := window_starts(t)):
-            for s in starts:
-                places.append((i, s))
-                codes.append(classes(t[s : s + WIDTH]))
+        every = classes(t) if t else ()
+        for s in window_starts(len(every)):
+            places.append((i, s))
+            codes.append(every[s : s + WIDTH])
     found: dict[int, list] = {}
     for (i, s), spans in zip(places, window_spans(model, codes), strict=True):
         found.setdefault(i, []).extend((a + s, b + s, k, w) for a, b, k, w in spans)
@@ -262,7 +260,7 @@ def find(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for batch in batches for part in slices(batch, 1024)):
+        for b in (part for batch in batches for part in slices(batch, 256)):
             found = all_spans(b.column(1).to_pylist(), model)
             columns = [b.column(0), *(pa.array([sum(x[1] == k for x in base) for base, _ in found], pa.int64()) for k in range(len(KINDS))),
                        pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found], pa.string()), pa.array([written(every) for _, every in found], pa.string())]
@@ -277,7 +275,7 @@ def mask(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for batch in batches for part in slices(batch, 1024)):
+        for b in (part for batch in batches for part in slices(batch, 256)):
             texts = b.column(at).to_pylist()
             out = [masked(t, every) for t, (_, every) in zip(texts, all_spans(texts, model), strict=True)]
             yield b.set_column(at, "text", pa.array(out, b.schema.field(at).type))
