@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from fieldfold.llm import decontaminate, license_scan, packing, pii, quality_rules, queries, sharding, tagger, token_store
 from fieldfold.llm.encode import Encoder
@@ -24,7 +25,7 @@ def test_shards_fit_and_follow_the_hash(spark, sf_dir):
     assert len(got) == len(docs)
     size = {}
     for r in got:
-        bits = f"{int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16):060b}"
+        bits = f"{int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:9] + hashlib.md5((docs[r.doc_id] or '').encode()).hexdigest()[:6], 16):060b}"
         assert bits.startswith(r.shard) and len(r.shard) == r.shard_depth and r.n_bytes == len((docs[r.doc_id] or "").encode())
         size[r.shard] = size.get(r.shard, 0) + r.n_bytes
     assert all(size[r.shard] == r.shard_bytes for r in got)
@@ -36,26 +37,39 @@ def test_shards_fit_and_follow_the_hash(spark, sf_dir):
 
 
 def test_shard_edges(spark):
-    df = awkward(spark).drop("shard", "bytes")
-    rows = sharding.assign(df, 64).collect()
+    df = awkward(spark).withColumns({c: F.lit("y") for c in ("shard_bytes", "shard_depth", "prefix", "n_bytes", "row", "at")})
+    out = sharding.assign(df, 64)
+    rows = out.collect()
     assert len(rows) == len(AWKWARD) and sharding.assign(empty(spark), 64).count() == 0
     seven = {r.shard for r in rows if r.doc_id == 7}
     assert len(seven) == 1
+    kept = [c for c in df.columns if c not in sharding.OWN]
+    assert out.columns == [*kept, *sharding.OWN]
+    assert sorted(map(str, df.select(kept).collect())) == sorted(map(str, out.select(kept).collect()))
+
+
+def test_rows_without_an_id_are_told_apart_by_text(spark):
+    rows = [(None, f"text number {i} of a row without an id") for i in range(300)]
+    assert max(r.shard_bytes for r in sharding.assign(table(spark, rows), 1000).collect()) <= 1000
 
 
 # ---- op2 ----
 
+def fresh(name):
+    """The library's own tokenizer, with nothing set."""
+    return Tokenizer.from_file(queries.tokenizer_path(name))
+
+
 def ids(name, text, end):
-    e = Encoder(queries.tokenizer_path(name), False)
-    return [*e.tokenizer.encode(text or "", add_special_tokens=False).ids, end]
+    return [*fresh(name).encode(text or "", add_special_tokens=False).ids, end]
 
 
 def test_token_store_round_trip(spark, sf_dir):
     docs, at = documents(spark, sf_dir), 0
     got = {r.doc_id: r for r in queries.op2_token_store(spark, sf_dir).collect()}
-    e = Encoder(queries.tokenizer_path("word_bpe_49k.json"), False)
+    t = fresh("word_bpe_49k.json")
     for d in sorted(docs):
-        want = [*e.tokenizer.encode(docs[d] or "", add_special_tokens=False).ids, 2]
+        want = [*t.encode(docs[d] or "", add_special_tokens=False).ids, 2]
         assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (at, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
         at += len(want)
 
@@ -70,6 +84,16 @@ def test_token_store_edges_and_single_frames(spark, tmp_path, monkeypatch):
     assert token_store.round_trip(empty(spark), queries.tokenizer_path("word_bpe_49k.json"), 2).count() == 0
 
 
+def test_a_partition_goes_on_in_new_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "FILE_DOCS", 3)
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    files = token_store.write(awkward(spark), f"file://{tmp_path}/t", path, 2)
+    assert max(f[1] for f in files) <= 3 and sum(f[1] for f in files) == len(AWKWARD)
+    one = sorted(map(tuple, token_store.read(spark, files).collect()), key=str)
+    monkeypatch.undo()
+    assert one == sorted(map(tuple, token_store.round_trip(awkward(spark), path, 2).collect()), key=str)
+
+
 def test_damage_is_noticed(tmp_path):
     import io
 
@@ -93,11 +117,13 @@ def test_damage_is_noticed(tmp_path):
 
 @pytest.mark.parametrize(("name", "leading"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_chunked_encoding_is_exact(name, leading):
-    e, r = Encoder(queries.tokenizer_path(name), leading), np.random.default_rng(3)
+    e, r, plain = Encoder(queries.tokenizer_path(name), leading), np.random.default_rng(3), fresh(name)
     signs = list("aB's éÉßΣ\n.,!9<|>x-\t 'lİ#")
     texts = ["".join(r.choice(signs, 30)) for _ in range(3000)] + ["", " ", "\n", "a <|endoftext|> b's it's don't", "x\n\n\ny  z", "trailing \n"]
+    added = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<", " ", "\n", "a", "é", "x.", "<|endoftext|><|endoftext|>"]
+    texts += ["".join(r.choice(added, int(r.integers(1, 8)))) for _ in range(2000)]
     for t in texts:
-        assert e.encode(t) == np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+        assert e.encode(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
 # ---- op5 ----
@@ -196,8 +222,8 @@ def test_pii_query_and_mask(spark, sf_dir):
 
 def test_packing_is_whole_and_tight(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    e = Encoder(queries.tokenizer_path("byte_bpe_50k.json"), True)
-    want = {d: [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for d, t in docs.items()}
+    t0 = fresh("byte_bpe_50k.json")
+    want = {d: [*t0.encode(t or "", add_special_tokens=False).ids, 1] for d, t in docs.items()}
     got = queries.op6_packing(spark, sf_dir).collect()
     spots, seq = {}, {}
     for r in got:
@@ -216,6 +242,13 @@ def test_packing_is_whole_and_tight(spark, sf_dir):
     assert set(spots) == set(docs)
 
 
+def test_equal_rows_spread_over_ranges(spark):
+    rows = [(5, "the very same row again and again " * 20)] * 4000
+    got = packing.pack(table(spark, rows), queries.tokenizer_path("byte_bpe_50k.json"), 1)
+    spread = [r["count"] for r in got.groupBy(F.shiftright("sequence_id", 40)).count().collect()]
+    assert len(spread) == 4 and max(spread) < 2 * min(spread)
+
+
 def test_packing_edges(spark):
     path = queries.tokenizer_path("byte_bpe_50k.json")
     got = packing.pack(awkward(spark), path, 1).collect()
@@ -322,6 +355,51 @@ def test_license_method_allows_edits(spark):
     assert r.labels == "" and r.score == 0
 
 
+def common_share(text, phrase):
+    """The words in common of a text and a notice, by their longest common subsequence."""
+    a, b = re.findall(r"[a-z0-9]+", text.lower()), phrase.split()
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return 2 * best[-1][-1] / (len(a) + len(b))
+
+
+def test_license_notices_and_scores(spark):
+    """Every notice whole, with words put in, and with words lost: its label, and a score beside that of brute force."""
+    r, rows, want = np.random.default_rng(4), [], {}
+    for i, (phrase, label) in enumerate(license_scan.NOTICES.items()):
+        w = phrase.split()
+        put, lost = list(w), [x for j, x in enumerate(w) if j != len(w) // 2]
+        for at in sorted(r.integers(3, len(w) - 3, 2).tolist(), reverse=True):
+            put.insert(at, "zzz")
+        for j, v in enumerate((w, put, lost)):
+            rows.append((10 * i + j, "some words before it. " + " ".join(v).capitalize() + ". And some after it."))
+            want[10 * i + j] = (label, common_share(" ".join(v), phrase))
+    for x in license_scan.scan(table(spark, rows)).collect():
+        label, score = want[x.doc_id]
+        if x.n_base == 0:
+            assert abs(x.score - score) < 0.15, (x, score)
+        if score >= 0.85:
+            assert label in x.labels.split(","), (x, label, score)
+    mit = next(iter(license_scan.NOTICES)).split()
+    edited = " ".join([*mit[:5], "x x x", *mit[5:10], "x x x", *mit[10:15], "x x x", *mit[15:]])
+    (x,) = license_scan.scan(table(spark, [(1, edited)])).collect()
+    assert x.labels == "mit" and 0.75 <= x.score < 0.9
+
+
+def test_license_scan_of_long_texts_takes_its_time_in_proportion(spark):
+    import time
+
+    took = {}
+    for n in (4_000, 16_000, 64_000):
+        text = " ".join(["granted free of charge to any person", "copy of this software and", "w"] * (n // 7))
+        began = time.time()
+        license_scan.scan(table(spark, [(1, text)])).collect()
+        took[n] = time.time() - began
+    assert took[64_000] < 8 * max(1.0, took[16_000]), took
+
+
 # ---- op10 ----
 
 def slow_report(docs, bench):
