@@ -26,8 +26,6 @@ def _random_table(seed: int) -> np.ndarray:
 
 
 _BYTES = _random_table(20250101)
-#: A second family of symbols, for names of 128 bits.
-_OTHER = _random_table(20250102)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +65,15 @@ class Hashes:
     def at(self, start: np.ndarray, length) -> np.ndarray:
         return mix((self.sums[start + length] - self.sums[start]) * self.inv[start])
 
+    def plain(self, start: np.ndarray, length: int) -> np.ndarray:
+        """The hashes before their last mixing: the high bits are even, the low ones less so."""
+        return (self.sums[start + length] - self.sums[start]) * self.inv[start]
+
+    def run(self, length: int) -> np.ndarray:
+        """plain() of all starts."""
+        n = len(self.sums) - length
+        return (self.sums[length:] - self.sums[:n]) * self.inv[:n] if n > 0 else np.zeros(0, U)
+
     def all(self, length: int) -> np.ndarray:
         n = len(self.sums) - length
         return mix((self.sums[length:] - self.sums[:n]) * self.inv[:n]) if n > 0 else np.zeros(0, U)
@@ -95,6 +102,11 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[97:123] = _ALNUM[128:] = True
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, word starts, word ends, word offsets per row). kind: "space" splits on blanks;
     "alnum" lower-cases A-Z and keeps digits, letters and whatever is not ASCII. Words never cross rows."""
@@ -115,8 +127,8 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.nd
     return data, starts, ends, np.searchsorted(starts, offsets, side="left")
 
 
-def word_symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
-    return Hashes((_OTHER if other else _BYTES)[data]).at(starts, ends - starts)
+def word_symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return Hashes(_BYTES[data]).at(starts, ends - starts)
 
 
 def word_bags(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -126,8 +138,13 @@ def word_bags(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(sums[ends] - sums[starts])
 
 
-def byte_symbols(data: np.ndarray, other: bool = False) -> np.ndarray:
-    return (_OTHER if other else _BYTES)[data]
+def byte_symbols(data: np.ndarray) -> np.ndarray:
+    return _BYTES[data]
+
+
+def pair(a: np.ndarray, b: np.ndarray, second: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Names of pairs of names: one whose high bits count and, if asked for, a second one of 64 bits."""
+    return a * U(_BASE) + b, mix(a ^ mix(b + U(_BASE))) if second else None
 
 
 def stream(texts: pa.Array, kind: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -70,7 +70,7 @@ def test_small_blocks_and_segments_change_nothing(spark, monkeypatch, spec):
     rows = [(i, f"{'shared passage of some length, ' * (6 + i)}{i}") for i in range(30)]
     monkeypatch.setattr(blocks, "BLOCK", 700)
     monkeypatch.setattr(blocks, "SEGMENT", {"bytes": 150, "space": 30})
-    monkeypatch.setattr(blocks, "BUCKET", 50)
+    monkeypatch.setattr(blocks, "BUCKETS", 5)
     assert got(spec.deduplicate(table(spark, rows))) == brute(rows, spec)
 
 
