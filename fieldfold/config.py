@@ -21,6 +21,8 @@ class DedupConfig:
     def __post_init__(self):
         if self.eps_m <= 0 or self.min_samples < 1 or self.frame_nms_m < 0 or (self.split_gate_m is not None and self.split_gate_m <= 0):
             raise ValueError("eps_m and split_gate_m must be positive, min_samples at least 1, frame_nms_m not negative")
+        if not (0 < self.spacing_share < 1 and 0 <= self.spacing_quantile <= 1 and self.min_eps_m > 0):
+            raise ValueError("spacing_share must lie between 0 and 1, spacing_quantile from 0 to 1, min_eps_m must be positive")
 
     @property
     def gate(self) -> float:

@@ -5,14 +5,11 @@ The fit is a closed form over sums, so a pass is two grouped aggregations and a
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DedupConfig, RegistrationConfig
-from . import local
-from .dedup import assign, is_small
+from .dedup import assign
 from .lineage import checkpoint
 
 
@@ -88,41 +85,17 @@ def move(points: DataFrame, fits: DataFrame) -> DataFrame:
     return points.join(fits.select("frame_id", "c", "a", "b", "u", "v"), "frame_id").withColumns({"x": mx, "y": my}).select(*points.columns)
 
 
-def _register_in_task(points: DataFrame, config: DedupConfig, registration: RegistrationConfig) -> DataFrame:
-    """idx, x, y, cluster, model, n_matches of a survey area that fits a task."""
-
-    def run(batches):
-        held = list(batches)
-        if not held:
-            return
-        t = pa.Table.from_batches(held).sort_by("idx")
-        idx = t["idx"].to_numpy()
-        frame = np.asarray(t["frame_id"].combine_chunks().dictionary_encode().indices)
-        x, y, cluster, model, matches = local.register(idx, t["x"].to_numpy(), t["y"].to_numpy(), frame, t["confidence"].to_numpy(), config, registration)
-        yield pa.RecordBatch.from_arrays([pa.array(idx), pa.array(x), pa.array(y), pa.array(cluster, mask=cluster < 0), pa.array(model.tolist(), pa.string()), pa.array(matches.astype(np.int64))], ["idx", "x", "y", "cluster", "model", "n_matches"])
-
-    return points.select("idx", "x", "y", "frame_id", "confidence").coalesce(1).mapInArrow(run, "idx long, x double, y double, cluster long, model string, n_matches long")
-
-
-def register(points: DataFrame, config: DedupConfig, registration: RegistrationConfig, small: bool | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def register(points: DataFrame, config: DedupConfig, registration: RegistrationConfig) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(points moved, clusters idx-cluster, corrections of the frames) after all passes; every pass moves all frames at
-    once, then clusters anew. A survey area that fits a task goes through all passes in one."""
+    once, then clusters anew."""
     raw = now = checkpoint(points)
-    if small is None:
-        small = is_small(now)
-    if small:
-        out = checkpoint(_register_in_task(now, config, registration))
-        moved = checkpoint(now.drop("x", "y").join(out, "idx").select(*points.columns, "model", "n_matches"))
-        fits = moved.groupBy("frame_id").agg(F.first("model").alias("model"), F.first("n_matches").alias("n_matches"))
-        moved = moved.select(*points.columns)
-        return moved, out.select("idx", "cluster"), checkpoint(corrections(raw, moved, fits)) if registration.iterations else None
-    clusters = checkpoint(assign(now, config, False))
+    clusters = checkpoint(assign(now, config))
     fits = None
     trim = registration.trim_m if registration.trim_m is not None else config.eps_m
     for _ in range(registration.iterations):
         fits = checkpoint(estimate(now, clusters, registration, trim))
         now = checkpoint(move(now, fits))
-        clusters = checkpoint(assign(now, config, False))
+        clusters = checkpoint(assign(now, config))
     return now, clusters, corrections(raw, now, fits) if fits is not None else None
 
 

@@ -6,34 +6,65 @@ are carried along.
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DedupConfig
-from . import local
-from .graph import components
+from . import tiles
+from .graph import components, roots
 from .lineage import checkpoint
 from .spatial import range_join, self_pairs
 
 
 def suppress(points: DataFrame, radius: float) -> DataFrame:
     """idx, keeper: boxes of one frame within a radius are linked (transitively); the most confident one keeps the
-    group, of equal ones the first. A box on its own keeps itself."""
+    group, of equal ones the first. A box on its own keeps itself. A frame, the boxes of one image, is one group."""
     if radius <= 0:
         return points.select("idx", F.col("idx").alias("keeper"))
-    near = self_pairs(points.select("idx", "x", "y", "frame_id"), radius, ["frame_id"])
-    groups = components(near.select(F.col("a.idx").alias("a"), F.col("b.idx").alias("b")))
-    member = points.select("idx", "confidence").join(groups, points.idx == groups.node)
-    best = member.groupBy("root").agg(F.max_by("idx", F.struct("confidence", (-F.col("idx")).alias("i"))).alias("keeper"))
-    found = member.join(best, "root").select(F.col("idx").alias("i"), "keeper")
-    return points.select("idx").join(found, F.col("idx") == F.col("i"), "left").select("idx", F.coalesce("keeper", "idx").alias("keeper"))
+
+    def one(boxes: pa.Table) -> pa.Table:
+        idx, x, y, confidence = (boxes.column(c).to_numpy() for c in ("idx", "x", "y", "confidence"))
+        i, j = tiles.near_pairs(x, y, radius)
+        group = np.arange(len(idx))
+        if len(i):
+            nodes, root = roots(i, j)
+            group[nodes] = root
+        order = np.lexsort((idx, -confidence, group))
+        first = np.append(True, np.diff(group[order]) != 0)
+        best = order[first]
+        return pa.table({"idx": idx, "keeper": idx[best[np.searchsorted(group[best], group)]]})
+
+    return points.select("idx", "x", "y", "confidence", "frame_id").groupBy("frame_id").applyInArrow(one, "idx long, keeper long")
+
+
+#: Side of the tiles that points are clustered in, in radii, and metres at least: a tile's animals are as many as can stand on it.
+TILE_RADII, TILE_M = 32, 64.0
+
+
+def _clustered(points: DataFrame, eps: float, min_samples: int, drop_noise: bool, gate: float | None) -> tuple[DataFrame, DataFrame | None]:
+    """(idx, cluster of all points; which points' clusters cross tiles, null if none do). Clusters within a tile are split
+    at once if a gate is given."""
+    side = max(TILE_M, TILE_RADII * eps)
+    tile = lambda c: F.floor(F.col(c) / side).cast("long")
+    reach = F.expr("explode(sequence(-1, 1))")
+    p = points.select("idx", "x", "y", "frame_id")
+    at = p.withColumns({"tx": tile("x"), "ty": tile("y")}).withColumn("i", reach).withColumn("j", reach)
+    # how far a point lies from the tile beside its own
+    gap = lambda c, t, k: F.when(F.col(k) == -1, F.col(c) - F.col(t) * side).when(F.col(k) == 1, (F.col(t) + 1) * side - F.col(c)).otherwise(0.0)
+    far = F.greatest(gap("x", "tx", "i"), gap("y", "ty", "j"))
+    spread = at.withColumn("far", far).where(F.col("far") <= 2 * eps)
+    spread = spread.select("idx", "x", "y", "frame_id", ((F.col("i") == 0) & (F.col("j") == 0)).cast("int").alias("own"), (F.col("far") <= eps).cast("int").alias("near"), (F.col("tx") + F.col("i")).alias("tx"), (F.col("ty") + F.col("j")).alias("ty"))
+    rows = checkpoint(spread.groupBy("tx", "ty").applyInArrow(lambda t: tiles.cluster(t, eps, min_samples, drop_noise, gate), "idx long, label long, kind int"))
+    done = rows.where(F.col("kind") == tiles.DONE).select("idx", F.col("label").alias("cluster"))
+    if rows.where(F.col("kind") != tiles.DONE).limit(1).count() == 0:
+        return done, None
+    found = components(rows.where(F.col("kind") == tiles.LINK).select(F.col("idx").alias("a"), F.col("label").alias("b")))
+    parts = rows.where(F.col("kind").isin(tiles.OPEN, tiles.EITHER)).join(found, F.col("label") == F.col("node"), "left")
+    crossing = checkpoint(parts.groupBy("idx").agg(F.min(F.coalesce("root", "label")).alias("cluster")))
+    return done.unionByName(crossing), crossing
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int = 1, drop_noise: bool = False) -> DataFrame:
@@ -43,122 +74,65 @@ def dbscan(points: DataFrame, eps: float, min_samples: int = 1, drop_noise: bool
     within eps (itself counted) is a core; a border point goes to the cluster of least number among its cores'.
     Noise gets a cluster of its own, or null with drop_noise.
     """
-    near = self_pairs(points.select("idx", "x", "y"), eps).select(F.col("a.idx").alias("a"), F.col("b.idx").alias("b"))
-    if min_samples <= 1:
-        found = components(near)
-        return points.select("idx").join(found, F.col("idx") == F.col("node"), "left").select("idx", F.coalesce("root", "idx").alias("cluster"))
-    near = checkpoint(near)
-    both = near.union(near.select("b", "a"))
-    core = both.groupBy(F.col("a").alias("idx")).count().where(F.col("count") + 1 >= min_samples).select("idx")
-    links = near.join(core.select(F.col("idx").alias("a")), "a", "left_semi").join(core.select(F.col("idx").alias("b")), "b", "left_semi").select("a", "b")
-    found = components(links)
-    core = core.join(found, F.col("idx") == F.col("node"), "left").select("idx", F.coalesce("root", "idx").alias("cluster"))
-    border = both.join(core.select(F.col("idx").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("idx")).agg(F.min("cluster").alias("at"))
-    out = points.select("idx").join(core, "idx", "left").join(border, "idx", "left")
-    return out.select("idx", F.coalesce("cluster", "at", F.lit(None) if drop_noise else F.col("idx")).alias("cluster"))
-
-
-def split_cluster(x: np.ndarray, y: np.ndarray, frames: np.ndarray, gate: float) -> np.ndarray:
-    """Part numbers of the members of one cluster: agglomeration under the rule that a part holds a frame once.
-
-    Candidates are the pairs of different frames within the gate; the closest centroids merge first (ties by the
-    lower numbers), as long as they are within the gate and share no frame. A merged part inherits the candidates
-    of both.
-    """
-    n = len(x)
-    centre = np.column_stack([x, y]).astype(float)
-    cells = defaultdict(list)
-    for i, c in enumerate(np.floor(centre / gate).astype(np.int64).tolist()):
-        cells[tuple(c)].append(i)
-    links: list[set[int]] = [set() for _ in range(n)]
-    heap = []
-    for (cx, cy), members in cells.items():
-        around = np.array([j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for j in cells.get((cx + dx, cy + dy), ())])
-        for i in members:
-            others = around[around > i]
-            gap = np.sqrt(((centre[others] - centre[i]) ** 2).sum(1))
-            ok = (gap <= gate) & (frames[others] != frames[i])
-            for j, d in zip(others[ok].tolist(), gap[ok].tolist(), strict=True):
-                links[i].add(j)
-                links[j].add(i)
-                heap.append((d, i, j, 0, 0))
-    heapq.heapify(heap)
-    seen: list[set] = [{f} for f in frames.tolist()]
-    size, age, part = np.ones(n), [0] * n, np.arange(n)
-    alive = [True] * n
-    while heap:
-        _, a, b, age_a, age_b = heapq.heappop(heap)
-        if not (alive[a] and alive[b]) or age[a] != age_a or age[b] != age_b or not seen[a].isdisjoint(seen[b]):
-            continue
-        centre[a] = (centre[a] * size[a] + centre[b] * size[b]) / (size[a] + size[b])
-        size[a] += size[b]
-        seen[a] |= seen[b]
-        alive[b], age[a] = False, age[a] + 1
-        part[b] = a
-        links[a] = (links[a] | links[b]) - {a, b}
-        for k in links[b]:
-            links[k].discard(b)
-            if k != a:
-                links[k].add(a)
-        for k in links[a]:
-            if alive[k] and seen[a].isdisjoint(seen[k]):
-                d = float(np.hypot(*(centre[a] - centre[k])))
-                if d <= gate:
-                    lo, hi = min(a, k), max(a, k)
-                    heapq.heappush(heap, (d, lo, hi, age[lo], age[hi]))
-    while (part[part] != part).any():
-        part = part[part]
-    return part
-
-
-def split_conflicts(points: DataFrame, clusters: DataFrame, gate: float) -> DataFrame:
-    """idx, cluster: clusters in which a frame stands twice are split; the others pass by untouched."""
-    member = points.select("idx", "x", "y", "frame_id").join(clusters.where("cluster is not null"), "idx")
-    twice = member.groupBy("cluster", "frame_id").count().where("count > 1").select("cluster").distinct()
+    return _clustered(points, eps, min_samples, drop_noise, None)[0]
 
-    def split(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("idx")
-        part = split_cluster(group.x.to_numpy(), group.y.to_numpy(), group.frame_id.to_numpy(), gate)
-        return pd.DataFrame({"idx": group.idx.to_numpy(), "part": group.idx.to_numpy()[part]})
 
-    parts = member.join(twice, "cluster", "left_semi").groupBy("cluster").applyInPandas(split, "idx long, part long")
-    return clusters.join(parts, "idx", "left").select("idx", F.coalesce("part", "cluster").alias("cluster"))
+def _nearest_pairs(links: DataFrame, gate: float) -> DataFrame:
+    """a, b of the links (a, b, d) that are the nearest link of both their ends, within the gate (ties by lower numbers)."""
+    near = links.where(F.col("d") <= gate).select("d", "a", "b")
+    rank = F.struct("d", "a", "b")
+    ends = near.select(F.col("a").alias("part"), rank.alias("r")).unionByName(near.select(F.col("b").alias("part"), rank.alias("r")))
+    best = ends.groupBy("part").agg(F.min("r").alias("r"))
+    return best.groupBy("r").count().where("count = 2").select("r.a", "r.b")
 
 
-#: A survey area of at most so many points is clustered in one task; larger ones by joins.
-ONE_TASK = 300_000
+def _measured(links: DataFrame, parts: DataFrame) -> DataFrame:
+    """The links whose parts share no frame, with the distance of the parts' centres."""
+    side = lambda k: parts.select(F.col("part").alias(k), F.struct("x", "y", "frames").alias(f"_{k}"))
+    both = links.join(side("a"), "a").join(side("b"), "b").where(~F.arrays_overlap("_a.frames", "_b.frames"))
+    return both.select("a", "b", F.hypot(F.col("_a.x") - F.col("_b.x"), F.col("_a.y") - F.col("_b.y")).alias("d"))
 
 
-def is_small(points: DataFrame) -> bool:
-    return points.limit(ONE_TASK + 1).count() <= ONE_TASK
-
+def split_conflicts(points: DataFrame, clusters: DataFrame, gate: float) -> DataFrame:
+    """idx, cluster: clusters in which a frame stands twice are split; the others pass by untouched.
 
-def assign(points: DataFrame, config: DedupConfig, small: bool | None = None) -> DataFrame:
+    Every point of such a cluster begins as a part of its own. In each round, parts that are each other's nearest merge,
+    provided that their centres are within the gate and they share no frame; a merged part has the mean of its points as
+    its centre, and the links of all its points. Links come from a grid join once and only ever shrink, so no task sees a
+    cluster whole, however far it chains. The rounds end when no pair may merge any more.
+    """
+    member = points.select("idx", "x", "y", "frame_id").join(clusters.where("cluster is not null"), "idx")
+    twice = member.groupBy("cluster", "frame_id").count().where("count > 1").select("cluster").distinct()
+    member = checkpoint(member.join(twice, "cluster", "left_semi"))
+    # a part has its members, which are no more than there are frames, its centre, and its frames by number
+    parts = member.select(F.col("idx").alias("part"), F.array("idx").alias("members"), "x", "y", F.array(F.xxhash64("frame_id")).alias("frames"))
+    links = self_pairs(member, gate, ["cluster"], F.col("a.frame_id") != F.col("b.frame_id")).select(F.col("a.idx").alias("a"), F.col("b.idx").alias("b"))
+    while True:
+        links = checkpoint(_measured(links, parts))
+        into = checkpoint(_nearest_pairs(links, gate).select(F.col("b").alias("old"), F.col("a").alias("new")))
+        if into.limit(1).count() == 0:
+            break
+        now = lambda c: F.coalesce("new", c)
+        mean = lambda c: (F.sum(F.col(c) * F.size("members")) / F.sum(F.size("members"))).alias(c)
+        parts = checkpoint(parts.join(into, parts.part == into.old, "left").groupBy(now("part").alias("part")).agg(F.flatten(F.collect_list("members")).alias("members"), mean("x"), mean("y"), F.flatten(F.collect_list("frames")).alias("frames")))
+        for c in "ab":
+            links = links.select("a", "b").join(into, F.col(c) == F.col("old"), "left").withColumn(c, now(c)).drop("old", "new")
+        links = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    of_point = parts.select("part", F.explode("members").alias("idx"))
+    return clusters.join(of_point, "idx", "left").select("idx", F.coalesce("part", "cluster").alias("cluster"))
+
+
+def assign(points: DataFrame, config: DedupConfig) -> DataFrame:
     """idx, cluster: a group label for each point (null: dropped as noise). Suppressed boxes follow their keeper."""
-    if is_small(points) if small is None else small:
-        return _assign_in_task(points, config)
     keepers = checkpoint(suppress(points, config.frame_nms_m)) if config.frame_nms_m > 0 else points.select("idx", F.col("idx").alias("keeper"))
     kept = points.join(keepers.where("idx = keeper").select("idx"), "idx", "left_semi") if config.frame_nms_m > 0 else points
-    clusters = dbscan(kept, config.eps_m, config.min_samples, config.drop_noise)
-    if config.frame_exclusivity:
-        clusters = split_conflicts(kept, checkpoint(clusters), config.gate)
+    clusters, crossing = _clustered(kept, config.eps_m, config.min_samples, config.drop_noise, config.gate if config.frame_exclusivity else None)
+    if config.frame_exclusivity and crossing is not None:
+        inner = clusters.join(crossing.select("idx"), "idx", "left_anti")
+        clusters = inner.unionByName(split_conflicts(kept, crossing, config.gate))
     return keepers.join(clusters.select(F.col("idx").alias("keeper"), "cluster"), "keeper", "left").select("idx", "cluster")
 
 
-def _assign_in_task(points: DataFrame, config: DedupConfig) -> DataFrame:
-    def run(batches):
-        held = list(batches)
-        if not held:
-            return
-        t = pa.Table.from_batches(held).sort_by("idx")
-        idx = t["idx"].to_numpy()
-        frame = np.asarray(t["frame_id"].combine_chunks().dictionary_encode().indices)
-        found = local.assign(idx, t["x"].to_numpy(), t["y"].to_numpy(), frame, t["confidence"].to_numpy(), config)
-        yield pa.RecordBatch.from_arrays([pa.array(idx), pa.array(found, mask=found < 0)], ["idx", "cluster"])
-
-    return points.select("idx", "x", "y", "frame_id", "confidence").coalesce(1).mapInArrow(run, "idx long, cluster long")
-
-
 def numbered(points: DataFrame, clusters: DataFrame) -> DataFrame:
     """cluster, number (from 1): clusters by mean x, then mean y, then first member."""
     centre = points.select("idx", "x", "y").join(clusters.where("cluster is not null"), "idx").groupBy("cluster").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.min("idx").alias("first"))
@@ -176,24 +150,43 @@ def rank_all(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def resolve(points: DataFrame, clusters: DataFrame) -> DataFrame:
-    """One record per cluster: number, id, x, y, label, confidence, observations, frames, detections, spread, votes."""
+    """One record per cluster: number, id, x, y, label, confidence, observations, frames, detections, spread, votes.
+
+    Labels are counted before anything is gathered; the members of a record, which are its own content, come once.
+    """
     member = points.join(clusters.where("cluster is not null"), "idx")
-    votes = member.groupBy("cluster", "label").count().groupBy("cluster").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "count")))).alias("label_votes"))
-    best = F.struct("confidence", (-F.col("idx")).alias("i"))
-    body = member.groupBy("cluster").agg(
-        F.avg("x").alias("x"), F.avg("y").alias("y"), F.max_by("label", best).alias("label"), F.max("confidence").alias("confidence"), F.count("*").alias("n_observations"),
-        F.array_sort(F.collect_set("frame_id")).alias("frame_ids"), F.transform(F.array_sort(F.collect_list(F.struct("idx", "detection_id"))), lambda s: s.detection_id).alias("detection_ids"))
-    far = member.select("cluster", F.col("x").alias("px"), F.col("y").alias("py")).join(body.select("cluster", "x", "y"), "cluster").groupBy("cluster").agg(F.max(F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y"))).alias("spread_m"))
-    numbers = numbered(points, clusters)
-    out = body.join(votes, "cluster").join(far, "cluster").join(numbers, "cluster")
+    # a row a cluster and label first
+    by_label = member.groupBy("cluster", "label").agg(
+        F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.max(F.struct("confidence", (-F.col("idx")).alias("i"))).alias("top"),
+        F.collect_list(F.struct("idx", "detection_id", "frame_id", "x", "y")).alias("seen"))
+    body = by_label.groupBy("cluster").agg(
+        (F.sum("sx") / F.sum("n")).alias("x"), (F.sum("sy") / F.sum("n")).alias("y"), F.max_by("label", "top").alias("label"), F.max("top.confidence").alias("confidence"), F.sum("n").alias("n_observations"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", F.col("n").alias("count"))))).alias("label_votes"), F.array_sort(F.flatten(F.collect_list("seen"))).alias("seen"))
+    far = F.array_max(F.transform("seen", lambda s: F.hypot(s.x - F.col("x"), s.y - F.col("y"))))
+    body = checkpoint(body.withColumns({"frame_ids": F.array_sort(F.array_distinct(F.transform("seen", lambda s: s.frame_id))), "detection_ids": F.transform("seen", lambda s: s.detection_id), "spread_m": far, "first": F.get(F.col("seen"), 0).idx}).drop("seen"))
+    numbers = rank_all(body.select("cluster", F.col("x").alias("mx"), F.col("y").alias("my"), "first"), ["mx", "my", "first"]).select("cluster", F.col("rank").alias("number"))
+    out = body.drop("first").join(numbers, "cluster")
     return out.withColumns({"animal_id": F.format_string("A%05d", "number"), "class_conflict": F.size("label_votes") > 1})
 
 
-def density_spacing(points: DataFrame, quantile: float) -> float | None:
+def quantile(df: DataFrame, column: str, q: float) -> float | None:
+    """The q-quantile (linear between ranks) of a column: its values are ranked over ranges, and two of them are read."""
+    values = df.where(F.col(column).isNotNull()).select(column)
+    ranked = checkpoint(rank_all(values, [column]))
+    n = ranked.count()
+    if not n:
+        return None
+    at = q * (n - 1)
+    low = int(at)
+    got = {r.rank: r[0] for r in ranked.where(F.col("rank").isin(low + 1, min(n, low + 2))).collect()}
+    return got[low + 1] + (got[min(n, low + 2)] - got[low + 1]) * (at - low)
+
+
+def density_spacing(points: DataFrame, share: float) -> float | None:
     """The quantile (linear) of the distances to the nearest box of the same frame; null with no such pair."""
     from .spatial import nearest_in_group
 
-    return nearest_in_group(points, "frame_id").agg(F.percentile("d", quantile)).first()[0]
+    return quantile(nearest_in_group(points, "frame_id"), "d", share)
 
 
 def plan_density(spacing: float | None, config: DedupConfig) -> tuple[DedupConfig, str]:

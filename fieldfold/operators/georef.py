@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.camera import MAX_RANGE, attitude, cast, focal_px
 from ..functions.geo import Utm
+from .dedup import quantile
 
 
 def survey_zone(frames: DataFrame) -> Utm:
     """The UTM zone of the medians of all frames' latitudes and longitudes."""
-    lat, lon = frames.agg(F.percentile("latitude", 0.5), F.percentile("longitude", 0.5)).first()
+    lat, lon = quantile(frames, "latitude", 0.5), quantile(frames, "longitude", 0.5)
     if lat is None:
         raise ValueError("a survey needs at least one frame")
     return Utm.at(lat, lon)

@@ -16,10 +16,6 @@ from pyspark.sql import functions as F
 
 from .lineage import checkpoint
 
-#: Up to so many edges one task joins them all, and no rounds are needed.
-ONE_TASK = 2_000_000
-
-
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, least node of each one's component) over edges a-b."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -59,25 +55,21 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for every node of edges(a, b); loops are ignored."""
     pairs = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     now = checkpoint(pairs.mapInArrow(_stars, "u long, v long"))
-    if now.count() <= ONE_TASK:
-        now = checkpoint(now.coalesce(1).mapInArrow(_stars, "u long, v long"))
-    else:
-        before = None
-        for _ in range(most_rounds):
-            both = now.union(now.select("v", "u"))
-            least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-            large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-            low = large.groupBy("u").agg(F.min("v").alias("m"))
-            small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-            now = checkpoint(small)
-            state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-            if state == before:
-                break
-            before = state
-        else:
-            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    while not _settled(now):  # rounds grow with the logarithm of the nodes, squared at worst
+        both = now.union(now.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        now = checkpoint(small)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether all is stars: each node points to one other, and none that is pointed to points on."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").limit(1).count() == 0

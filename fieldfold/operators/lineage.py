@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 
@@ -12,9 +13,12 @@ _own: dict[str, str] = {}
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """Reliable checkpoint in spark.checkpoint.dir. Where that is unset a local session gets a folder of its own; on a
+    cluster it is an error, as executors would write to their own disks."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if sc.applicationId not in _own:
             _own[sc.applicationId] = tempfile.mkdtemp(prefix="fieldfold-cp-")
             atexit.register(shutil.rmtree, _own[sc.applicationId], True)

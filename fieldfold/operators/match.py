@@ -15,13 +15,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import IngestOptions
-from ..functions.geo import bearing, haversine, lerp, lerp_angle
+from ..functions.geo import EARTH_RADIUS, bearing, haversine, lerp, lerp_angle
 from ..functions.mathx import NUMPY
 from ..functions.text import frame_key
 
 POSE = ["latitude", "longitude", "altitude_agl_m", "heading_deg", "gimbal_pitch_deg", "gimbal_roll_deg"]
 #: Across a gap this long nothing is interpolated.
 LONG_GAP_S = 30.0
+#: Seconds of a track that are sorted together for time lookups.
+SLOT_S = 600.0
 # Why a detection found no pose.
 UNKNOWN_SOURCE = "unknown telemetry source"
 AMBIGUOUS = "ambiguous telemetry (add a 'video' column naming the log file)"
@@ -35,16 +37,25 @@ def at_time(probes: DataFrame, telemetry: DataFrame, tolerance: float) -> DataFr
     An exact time takes the first sample with it. Before the first and after the last sample, the edge one counts
     within the tolerance; so does the nearer one across a long gap (of equal ones the earlier). Else both
     neighbours are interpolated, headings along the shorter arc.
+
+    Samples and probes are sorted together within slots of SLOT_S seconds of a track, so that a long track spreads over
+    tasks; across slots only the first and last sample of each are carried. The sample after a probe is the last one
+    before it in the reverse order, which a running window finds as cheaply as the one before.
     """
     sample = F.struct("time_s", *POSE, "timestamp")
-    empty = F.lit(None).cast("struct<time_s:double," + ",".join(f"{c}:double" for c in POSE) + ",timestamp:string>")
-    both = (telemetry.where("time_s is not null").select("track", F.col("time_s").alias("t"), F.lit(1).alias("kind"), F.col("seq").alias("o"), sample.alias("s"), F.lit(None).cast("long").alias("id"))
-            .unionByName(probes.select("track", "t", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("o"), empty.alias("s"), "id")))
-    order = W.partitionBy("track").orderBy("t", "kind", "o")
+    kind_of = "struct<time_s:double," + ",".join(f"{c}:double" for c in POSE) + ",timestamp:string>"
+    slot = lambda c: F.floor(F.col(c) / SLOT_S).cast("long").alias("slot")
+    timed = telemetry.where("time_s is not null").select("track", slot("time_s"), F.col("time_s").alias("t"), F.lit(1).alias("kind"), F.col("seq").alias("o"), sample.alias("s"), F.lit(None).cast("long").alias("id"))
+    asked = probes.select("track", slot("t"), "t", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("o"), F.lit(None).cast(kind_of).alias("s"), "id")
+    both = timed.unionByName(asked)
+    slots = both.groupBy("track", "slot").agg(F.min_by("s", F.when(F.col("kind") == 1, F.struct("t", "o"))).alias("first"), F.max_by("s", F.when(F.col("kind") == 1, F.struct("t", F.col("o")))).alias("last"))
+    by_slot, all_before = W.partitionBy("track"), (W.unboundedPreceding, -1)
+    carried = slots.select("track", "slot", F.last("last", ignorenulls=True).over(by_slot.orderBy("slot").rowsBetween(*all_before)).alias("earlier"), F.last("first", ignorenulls=True).over(by_slot.orderBy(F.desc("slot")).rowsBetween(*all_before)).alias("later"))
+    within = W.partitionBy("track", "slot")
     seen = both.withColumns({
-        "p": F.last("s", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)),
-        "n": F.first("s", ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)),
-    }).where("kind = 0")
+        "p": F.last("s", ignorenulls=True).over(within.orderBy("t", "kind", "o").rowsBetween(*all_before)),
+        "n": F.last("s", ignorenulls=True).over(within.orderBy(F.desc("t"), F.desc("kind"), F.desc("o")).rowsBetween(*all_before)),
+    }).where("kind = 0").join(carried, ["track", "slot"]).withColumns({"p": F.coalesce("p", "earlier"), "n": F.coalesce("n", "later")})
     t, p, n = F.col("t"), F.col("p"), F.col("n")
     before, after = t - p.time_s, n.time_s - t
     share = before / (n.time_s - p.time_s)
@@ -60,47 +71,90 @@ def at_time(probes: DataFrame, telemetry: DataFrame, tolerance: float) -> DataFr
     return seen.select("track", "id", "t", found.alias("s")).select("track", "id", "t", *(F.col(f"s.{c}").alias(c) for c in POSE), F.col("s.timestamp").alias("timestamp"))
 
 
+def _bounds(lat: np.ndarray, lon: np.ndarray) -> list[np.ndarray]:
+    """Boxes (least and greatest latitude and longitude) of runs of 1, 2, 4 ... samples of a track."""
+    levels = [np.stack([lat, lat, lon, lon])]
+    while levels[-1].shape[1] > 1:
+        low = levels[-1][:, : levels[-1].shape[1] // 2 * 2]
+        pairs = low.reshape(4, -1, 2)
+        levels.append(np.stack([pairs[0].min(1), pairs[1].max(1), pairs[2].min(1), pairs[3].max(1)]))
+    return levels
+
+
+def first_beyond(lat: np.ndarray, lon: np.ndarray, least_m: float) -> np.ndarray:
+    """For each sample the next one at least so far from it, or -1. All samples look ahead at once: a run of samples that
+    lies wholly nearer, by the box around it, is stepped over, so a hovering drone costs little more than a moving one."""
+    n = len(lat)
+    levels = _bounds(lat, lon)
+    out, at, level = np.full(n, -1), np.arange(1, n + 1), np.zeros(n, int)
+    open_ = np.flatnonzero(at < n)
+    while len(open_):
+        i, j, k = open_, at[open_], level[open_]
+        skip = np.zeros(len(open_), bool)
+        for step in np.unique(k):
+            rows = np.flatnonzero(k == step)
+            size = 1 << int(step)
+            box = levels[step]
+            rows = rows[(j[rows] % size == 0) & (j[rows] // size < box.shape[1])]
+            if not len(rows):
+                continue
+            s, w, a, o = box[:, j[rows] // size], i[rows], lat[i[rows]], lon[i[rows]]
+            if step == 0:
+                skip[rows] = haversine(a, o, s[0], s[2], NUMPY) < least_m
+            else:
+                up = np.maximum(np.abs(s[0] - a), np.abs(s[1] - a))
+                across = np.maximum(np.abs(s[2] - o), np.abs(s[3] - o)) * np.cos(np.radians(np.minimum(np.minimum(np.abs(s[0]), np.abs(s[1])), np.abs(a)) * (s[0] * s[1] > 0)))
+                skip[rows] = np.radians(np.hypot(up, across)) * EARTH_RADIUS * (1 + 1e-9) < least_m
+        found = ~skip & (k == 0)
+        out[open_[found]] = j[found]
+        at[open_[skip]] = j[skip] + (1 << k[skip])
+        level[open_[skip]] = np.minimum(k[skip] + 1, len(levels) - 1)
+        level[open_[~skip & (k > 0)]] -= 1
+        open_ = open_[~found]
+        open_ = open_[at[open_] < n]
+    return out
+
+
+def course_over_ground(lat: np.ndarray, lon: np.ndarray, baseline_m: float, turn_deg: float) -> np.ndarray:
+    """The heading of each sample of a track from its own movement, NaN where it never moves a baseline.
+
+    A sample takes the course to the next place a baseline away. Where that differs from the course by which it came by
+    more than a turn, it still belongs to the leg before if that leg was straight up to here.
+    """
+    n = len(lat)
+    ahead = first_beyond(lat, lon, baseline_m)
+    back = first_beyond(lat[::-1], lon[::-1], baseline_m)[::-1]
+    back = np.where(back >= 0, n - 1 - back, -1)
+    place = lambda i: (lat[i], lon[i])
+    every = np.arange(n)
+    leaving = np.where(ahead >= 0, bearing(*place(every), *place(ahead), NUMPY), np.nan)
+    coming = np.where(back >= 0, bearing(*place(back), *place(every), NUMPY), np.nan)
+    before = np.where(back >= 0, coming[back], np.nan)  # the course by which the place before was reached
+    apart = lambda a, b: np.abs((a - b + 180) % 360 - 180)
+    with np.errstate(invalid="ignore"):
+        last_of_leg = (apart(leaving, coming) > turn_deg) & (apart(before, coming) <= turn_deg)
+    return np.where(np.isnan(leaving) | last_of_leg, coming, leaving)
+
+
 def derive_headings(telemetry: DataFrame, baseline_m: float = 2.0, turn_deg: float = 30.0) -> DataFrame:
-    """Fills null headings with the course over ground: a scan of each track, which is inherently sequential."""
+    """Fills null headings with the course over ground. A track, one flight's log, is one group; tracks whose samples all
+    have a heading pass by."""
 
     def fill(track: pd.DataFrame) -> pd.DataFrame:
-        timed = track.time_s.notna().all()
-        track = track.sort_values(["time_s", "seq"] if timed else ["seq"], kind="stable").reset_index(drop=True)
-        lat, lon = track.latitude.to_numpy(), track.longitude.to_numpy()
-
-        def away(i: int, step: int) -> int | None:
-            j = i + step
-            while 0 <= j < len(lat):
-                if haversine(lat[i], lon[i], lat[j], lon[j], NUMPY) >= baseline_m:
-                    return j
-                j += step
-            return None
-
-        course = lambda i, j: float(bearing(lat[i], lon[i], lat[j], lon[j], NUMPY))
-        turn = lambda a, b: abs((a - b + 180) % 360 - 180)
-        out = track.heading_deg.to_numpy(dtype=float, na_value=np.nan).copy()
-        for i in np.flatnonzero(np.isnan(out)):
-            ahead, back = away(i, 1), away(i, -1)
-            if ahead is None and back is None:
-                continue
-            if back is None or ahead is None:
-                out[i] = course(i, ahead) if back is None else course(back, i)
-                continue
-            leaving, coming = course(i, ahead), course(back, i)
-            out[i] = leaving
-            if turn(leaving, coming) > turn_deg:
-                earlier = away(back, -1)
-                if earlier is not None and turn(course(earlier, back), coming) <= turn_deg:
-                    out[i] = coming
-        track["heading_derived"] = track.heading_deg.isna() & ~np.isnan(out)
-        track["heading_deg"] = pd.Series(out).where(~np.isnan(out), None).astype(float)
+        by = ["time_s", "seq"] if track.time_s.notna().all() else ["seq"]
+        track = track.sort_values(by, kind="stable").reset_index(drop=True)
+        course = course_over_ground(track.latitude.to_numpy(float), track.longitude.to_numpy(float), baseline_m, turn_deg)
+        missing = track.heading_deg.isna().to_numpy()
+        filled = missing & ~np.isnan(course)
+        given = track.heading_deg.to_numpy(dtype=float, na_value=np.nan)
+        track["heading_deg"] = pd.Series(np.where(filled, course, given)).astype(object).where(~(missing & ~filled), None)
+        track["heading_derived"] = filled
         return track[columns]
 
     schema = telemetry.drop("heading_derived").withColumn("heading_derived", F.lit(False)).schema
     columns = schema.names
     have = telemetry.where("heading_deg is not null").withColumn("heading_derived", F.lit(False))
     tracks = telemetry.where("heading_deg is null").select("track").distinct()
-    # tracks with every heading given pass by; only the others go to Python
     rest = telemetry.drop("heading_derived").join(tracks, "track", "left_semi").groupBy("track").applyInPandas(fill, schema)
     return have.join(tracks, "track", "left_anti").select(*columns).unionByName(rest)
 

@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .dedup import quantile
 from .graph import components
+from .lineage import checkpoint
 from .spatial import range_join
 
 
@@ -123,27 +125,43 @@ def parse_counts(text: str) -> dict[str, int]:
     return out
 
 
+def _by_class(rows: DataFrame, none: str = "") -> dict[str, int]:
+    """How many rows each label (in lower case) has: a row a class comes to the driver."""
+    label = F.lower(F.coalesce(F.nullif(F.col("label"), F.lit("")), F.lit(none)))
+    return {r.label: r["count"] for r in rows.groupBy(label.alias("label")).count().orderBy("label").collect()}
+
+
+def _class_scores(truth: dict[str, int], predicted: dict[str, int]) -> dict[str, dict]:
+    return {k: {"truth": v, "predicted": predicted.get(k, 0), "error": predicted.get(k, 0) - v, "accuracy": accuracy(predicted.get(k, 0), v)} for k, v in truth.items()}
+
+
 def validate_counts(animals: DataFrame, counts: dict[str, int]) -> dict:
-    """Predicted against counted numbers, by class where classes are given (only those)."""
-    by_class = {r.label: r["count"] for r in animals.groupBy(F.lower("label").alias("label")).count().collect()}
-    predicted = sum(by_class.values())
+    """Predicted against counted numbers; where classes are counted only these are compared."""
+    by_class = _by_class(animals)
+    every = list(counts) == [""]
+    predicted = sum(by_class.values()) if every else sum(by_class.get(k, 0) for k in counts)
     truth = sum(counts.values())
-    classes = {} if list(counts) == [""] else {k: {"truth": v, "predicted": by_class.get(k, 0), "error": by_class.get(k, 0) - v, "accuracy": accuracy(by_class.get(k, 0), v)} for k, v in counts.items()}
-    return {"truth": truth, "predicted": predicted, "count_error": predicted - truth, "count_accuracy": accuracy(predicted, truth), "classes": classes}
+    return {"truth": truth, "predicted": predicted, "count_error": predicted - truth, "count_accuracy": accuracy(predicted, truth), "classes": {} if every else _class_scores(counts, by_class)}
+
+
+def unmatched_rows(animals: DataFrame, truth: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(missed rows of truth, extra records): those that the match hits(pid, tid) leaves over."""
+    missed = truth.join(hits.select("tid"), "tid", "left_anti")
+    return missed, animals.join(hits.select(F.col("pid").alias("number")), "number", "left_anti")
 
 
 def validate_points(animals: DataFrame, truth: DataFrame, radius: float) -> dict:
     """animals(number, animal_id, label, x, y) against truth(tid, label, x, y): counts, matches, missed and extra."""
-    hits = match_points(animals.select(F.col("number").alias("pid"), "x", "y"), truth.select("tid", "x", "y"), radius).collect()
-    missed = truth.join(truth.sparkSession.createDataFrame([(r.tid,) for r in hits], "tid long"), "tid", "left_anti").orderBy("tid").collect()
-    extra = animals.join(animals.sparkSession.createDataFrame([(r.pid,) for r in hits], "number long"), "number", "left_anti").orderBy("number").collect()
-    n_pred, n_truth = animals.count(), truth.count()
-    precision, recall = (len(hits) / n if n else 0.0 for n in (n_pred, n_truth))
-    label = {r.number: r.label.lower() for r in animals.select("number", "label").collect()}
-    real = {r.tid: (r.label or "").lower() for r in truth.select("tid", "label").collect()}
-    classes = {k: {"truth": sum(v == k for v in real.values()), "predicted": sum(v == k for v in label.values())} for k in sorted(set(real.values()) - {""})}
+    hits = checkpoint(match_points(animals.select(F.col("number").alias("pid"), "x", "y"), truth.select("tid", "x", "y"), radius))
+    missed, extra = unmatched_rows(animals, truth, hits)
+    n_hits, mean = hits.agg(F.count("*"), F.avg("distance")).first()
+    by_class, real = _by_class(animals), _by_class(truth, "unlabelled")
+    n_pred, n_truth = sum(by_class.values()), sum(real.values())
+    precision, recall = (n_hits / n if n else 0.0 for n in (n_pred, n_truth))
     return {
-        "truth": n_truth, "predicted": n_pred, "count_error": n_pred - n_truth, "count_accuracy": accuracy(n_pred, n_truth), "matched": len(hits), "precision": precision, "recall": recall,
-        "f1": 2 * precision * recall / (precision + recall) if precision + recall else 0.0, "mean_position_error_m": float(np.mean([r.distance for r in hits])) if hits else float("nan"),
-        "missed": [r.tid for r in missed], "extra": [r.animal_id for r in extra], "classes": {k: v | {"error": v["predicted"] - v["truth"], "accuracy": accuracy(v["predicted"], v["truth"])} for k, v in classes.items()},
+        "truth": n_truth, "predicted": n_pred, "count_error": n_pred - n_truth, "count_accuracy": accuracy(n_pred, n_truth), "matched": n_hits, "precision": precision, "recall": recall,
+        "f1": 2 * precision * recall / (precision + recall) if precision + recall else 0.0, "mean_position_error_m": float("nan") if mean is None else mean,
+        "p95_position_error_m": quantile(hits, "distance", 0.95), "match_radius_m": radius,
+        "missed": [r.tid for r in missed.select("tid").orderBy("tid").collect()], "extra": [r.animal_id for r in extra.select("number", "animal_id").orderBy("number").collect()],
+        "classes": {} if set(real) <= {"unlabelled"} else _class_scores(real, by_class),
     }

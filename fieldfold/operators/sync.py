@@ -5,22 +5,22 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SyncConfig
+from .dedup import quantile
+from .graph import components
 from .lineage import checkpoint
 from .spatial import self_pairs
 
-#: Frame pairs that the driver solves for; a survey has a few per frame.
-MOST_PAIRS = 5_000_000
-
 
 def offsets(points: DataFrame, config: SyncConfig) -> DataFrame:
     """fa, fb, dx, dy, votes: for pairs of frames (fa < fb) the offset that most pairs of their points agree on.
 
     Differences within the radius vote for their bin and the eight around it; the peak (of equal ones the lowest
-    bin) is refined to the mean of the differences close to it, and counts with enough of them.
+    bin) is refined to the mean of the differences in a disc of 1.5 bins around it, and counts with enough of them.
     """
     near = self_pairs(points.select("idx", "x", "y", "frame_id"), config.radius_m, on=F.col("a.frame_id") != F.col("b.frame_id"))
     up = F.col("a.frame_id") < F.col("b.frame_id")
@@ -33,7 +33,7 @@ def offsets(points: DataFrame, config: SyncConfig) -> DataFrame:
     votes = base.select("fa", "fb", "bx", "by", "count", ring.alias("o")).groupBy("fa", "fb", (F.col("bx") + F.col("o.i")).alias("bx"), (F.col("by") + F.col("o.j")).alias("by")).agg(F.sum("count").alias("votes"))
     peak = votes.groupBy("fa", "fb").agg(F.min_by(F.struct("bx", "by"), F.struct((-F.col("votes")).alias("v"), "bx", "by")).alias("p"))
     centre = lambda c: (F.col(f"p.{c}") - half + 0.5) * config.bin_m
-    close = diff.join(peak, ["fa", "fb"]).where((F.abs(F.col("dx") - centre("bx")) <= 1.5 * config.bin_m) & (F.abs(F.col("dy") - centre("by")) <= 1.5 * config.bin_m))
+    close = diff.join(peak, ["fa", "fb"]).where(F.hypot(F.col("dx") - centre("bx"), F.col("dy") - centre("by")) <= 1.5 * config.bin_m)
     return close.groupBy("fa", "fb").agg(F.avg("dx").alias("dx"), F.avg("dy").alias("dy"), F.count("*").alias("votes")).where(F.col("votes") >= config.min_votes)
 
 
@@ -67,18 +67,30 @@ def solve(a: np.ndarray, b: np.ndarray, d: np.ndarray, support: np.ndarray, n: i
 
 
 def synchronise(points: DataFrame, config: SyncConfig) -> tuple[DataFrame, dict]:
-    """(points with each frame's shift taken off, what was found): n_pairs, n_links (within the Huber distance), residual_m."""
+    """(points with each frame's shift taken off, what was found): n_pairs, n_links (within the Huber distance), residual_m
+    (the median over all pairs).
+
+    Frames that no chain of pairs joins don't bear on each other, so every component of the graph of pairs is solved by a
+    task of its own, from one row a pair of frames (some 50 bytes).
+    """
+    code = lambda c: F.xxhash64(c)
     found = checkpoint(offsets(points, config))
-    if found.count() > MOST_PAIRS:
-        raise ValueError(f"more than {MOST_PAIRS} pairs of frames: survey areas must be aligned one by one")
-    rows = found.orderBy("fa", "fb").collect()
-    if not rows:
-        return points, {"n_pairs": 0, "n_links": 0, "residual_m": 0.0}
-    names = sorted({r.fa for r in rows} | {r.fb for r in rows})
-    code = {f: i for i, f in enumerate(names)}
-    a, b = (np.array([code[getattr(r, k)] for r in rows]) for k in ("fa", "fb"))
-    t, residual = solve(a, b, np.array([(r.dx, r.dy) for r in rows]), np.array([r.votes for r in rows], float), len(names), config)
-    shifts = points.sparkSession.createDataFrame([(f, float(x), float(y)) for f, (x, y) in zip(names, t, strict=True)], "frame_id string, _tx double, _ty double")
-    moved = points.join(shifts, "frame_id", "left").withColumns({"x": F.col("x") - F.coalesce("_tx", F.lit(0.0)), "y": F.col("y") - F.coalesce("_ty", F.lit(0.0))}).select(*points.columns)
-    links = residual <= config.huber_m
-    return checkpoint(moved), {"n_pairs": len(rows), "n_links": int(links.sum()), "residual_m": float(np.median(residual[links])) if links.any() else 0.0}
+    area = components(found.select(code("fa").alias("a"), code("fb").alias("b")))
+    pairs = found.join(area, code("fa") == F.col("node")).select("root", "fa", "fb", "dx", "dy", "votes")
+
+    def one(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("fa", "ascending"), ("fb", "ascending")])
+        fa, fb = (rows.column(c).to_pylist() for c in ("fa", "fb"))
+        names = sorted({*fa, *fb})
+        at = {f: i for i, f in enumerate(names)}
+        d = np.column_stack([rows.column(c).to_numpy() for c in ("dx", "dy")])
+        t, residual = solve(np.array([at[f] for f in fa]), np.array([at[f] for f in fb]), d, rows.column("votes").to_numpy().astype(float), len(names), config)
+        none = pa.nulls(len(residual), pa.string()), pa.nulls(len(residual), pa.float64())
+        return pa.table({"frame_id": pa.chunked_array([names, none[0]], pa.string()), "tx": pa.chunked_array([pa.array(t[:, 0]), none[1]]), "ty": pa.chunked_array([pa.array(t[:, 1]), none[1]]), "residual": pa.chunked_array([pa.nulls(len(names), pa.float64()), pa.array(residual)])})
+
+    solved = checkpoint(pairs.groupBy("root").applyInArrow(one, "frame_id string, tx double, ty double, residual double"))
+    shifts = solved.where("frame_id is not null").select("frame_id", "tx", "ty")
+    moved = points.join(shifts, "frame_id", "left").withColumns({"x": F.col("x") - F.coalesce("tx", F.lit(0.0)), "y": F.col("y") - F.coalesce("ty", F.lit(0.0))}).select(*points.columns)
+    of_pairs = solved.where("residual is not null")
+    counts = of_pairs.agg(F.count("*").alias("n"), F.count_if(F.col("residual") <= config.huber_m).alias("links")).first()
+    return checkpoint(moved), {"n_pairs": counts.n, "n_links": counts.links, "residual_m": quantile(of_pairs, "residual", 0.5) or 0.0}

@@ -65,10 +65,11 @@ def confidence_of(c: Column) -> Column:
 
 
 def mark_normalised(rows: DataFrame) -> DataFrame:
-    """normalised: whether every coordinate of the row's file lies in 0 to 1."""
-    w = W.partitionBy("origin")
+    """normalised: whether every coordinate of the row's file lies in 0 to 1. A row a file is worked out and joined back,
+    so that a large file stays in parts."""
     coords = [F.coalesce(F.col(c), F.col("x")) for c in ("x", "y", "x1", "y1", "x2", "y2")]
-    return rows.withColumn("normalised", (F.max(F.greatest(*coords)).over(w) <= 1.0) & (F.min(F.least(*coords)).over(w) >= 0.0))
+    files = rows.groupBy("origin").agg(((F.max(F.greatest(*coords)) <= 1.0) & (F.min(F.least(*coords)) >= 0.0)).alias("normalised"))
+    return rows.join(files, "origin").select(*rows.columns, "normalised")
 
 
 def parse_records(rows: DataFrame, origin: str) -> DataFrame:

@@ -93,10 +93,9 @@ def parse_csv(rows: DataFrame, track: str, order: int = 0) -> DataFrame:
 
 def numbered_csv(spark: SparkSession, path: str) -> DataFrame:
     """A headed CSV as text columns and _row, the order of its lines."""
-    raw = spark.read.text(path, wholetext=True).first()
-    if raw is None:
-        raise ValueError(f"{path} is empty")
     df = spark.read.csv(path, header=True, inferSchema=False, multiLine=False, encoding="UTF-8")
+    if not df.columns:
+        raise ValueError(f"{path} is empty")
     df = df.toDF(*(c.replace("﻿", "") for c in df.columns))
     # one file: rows come in file order within a partition and partitions follow the file
     return df.withColumn("_row", F.monotonically_increasing_id())

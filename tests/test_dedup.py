@@ -63,20 +63,72 @@ def test_empty(spark):
     assert records(p) == ([], {})
 
 
-def test_split_of_a_large_chain():
+def merged_by_rule(places, frames, gate):
+    """The split's rule by brute force: in each round, mutually nearest parts without a common frame merge."""
+    parts = {i: [i] for i in range(len(places))}
+    linked = {(i, j) for i in parts for j in parts if i < j and frames[i] != frames[j] and np.hypot(*(places[i] - places[j])) <= gate}
+    while True:
+        centre = {k: places[v].mean(0) for k, v in parts.items()}
+        seen = {k: {frames[i] for i in v} for k, v in parts.items()}
+        linked = {(a, b) for a, b in linked if not seen[a] & seen[b]}
+        near = sorted((float(np.hypot(*(centre[a] - centre[b]))), a, b) for a, b in linked)
+        best = {}
+        for link in near:
+            if link[0] <= gate:
+                for k in link[1:]:
+                    best.setdefault(k, link)
+        merge = {link[2]: link[1] for link in set(best.values()) if best[link[1]] == best[link[2]] == link}
+        if not merge:
+            out = {i: k for k, v in parts.items() for i in v}
+            return [out[i] for i in range(len(places))]
+        for b, a in merge.items():
+            parts[a] = parts[a] + parts.pop(b)
+        linked = {tuple(sorted((merge.get(a, a), merge.get(b, b)))) for a, b in linked} - {(k, k) for k in range(len(places))}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_split_follows_its_rule(spark, seed):
+    r = np.random.default_rng(seed)
+    places, frames = np.round(r.random((90, 2)) * 6, 2), [f"f{k}" for k in r.integers(0, 7, 90)]
+    p = ground(spark, [tuple(q) for q in places], frames)
+    one = p.select("idx", F.lit(0).cast("long").alias("cluster"))
+    got = {x.idx: x.cluster for x in dedup.split_conflicts(p, one, 0.8).collect()}
+    want = merged_by_rule(places, frames, 0.8)
+    assert len(set(want)) < 80
+    assert [got[i] for i in range(90)] == want
+    from fieldfold.operators import tiles
+
+    assert tiles.split(places[:, 0], places[:, 1], np.array([int(f[1:]) for f in frames]), 0.8).tolist() == want
+
+
+def test_small_tiles_change_nothing(spark, monkeypatch):
+    r = np.random.default_rng(11)
+    places, frames = np.round(r.random((300, 2)) * 24, 2), [f"f{k}" for k in r.integers(0, 9, 300)]
+    p = ground(spark, [tuple(q) for q in places], frames)
+    config = DedupConfig(eps_m=0.9)
+    whole = {x.idx: x.cluster for x in dedup.assign(p, config).collect()}
+    monkeypatch.setattr(dedup, "TILE_M", 4.0)
+    monkeypatch.setattr(dedup, "TILE_RADII", 2)
+    assert {x.idx: x.cluster for x in dedup.assign(p, config).collect()} == whole
+
+
+def test_split_of_a_large_chain(spark):
     r = np.random.default_rng(4)
     grid = np.stack(np.meshgrid(np.arange(30) * 0.9, np.arange(30) * 0.9), -1).reshape(-1, 2)
-    p = np.concatenate([grid + r.normal(0, 0.05, grid.shape) for _ in range(6)])
-    part = dedup.split_cluster(p[:, 0], p[:, 1], np.repeat(np.arange(6), len(grid)), 0.4)
-    assert abs(len(np.unique(part)) - 900) <= 5
+    places = np.concatenate([grid + r.normal(0, 0.05, grid.shape) for _ in range(6)])
+    p = ground(spark, [tuple(q) for q in places], [f"f{k}" for k in range(6) for _ in grid])
+    parts = dedup.split_conflicts(p, p.select("idx", F.lit(0).cast("long").alias("cluster")), 0.4).collect()
+    assert len(parts) == len(places) and abs(len({x.cluster for x in parts}) - 900) <= 5
+    frame = {(x.cluster, x.idx // len(grid)) for x in parts}
+    assert len(frame) == len(parts)
 
 
 def test_offsets_are_recovered(spark):
     r = np.random.default_rng(1)
     grid = np.stack(np.meshgrid(np.arange(12) * 0.9, np.arange(12) * 0.9), -1).reshape(-1, 2)
-    grid = grid + r.uniform(-0.2, 0.2, grid.shape)
-    true = r.normal(0, 0.3, (6, 2))
-    places = [tuple(q) for k in range(6) for q in grid + true[k]]
+    grid = grid + r.normal(0, 0.05, grid.shape)
+    true = r.normal(0, 0.35, (6, 2))
+    places = [tuple(q) for k in range(6) for q in grid + true[k] + r.normal(0, 0.02, grid.shape)]
     p = ground(spark, places, [f"f{k}" for k in range(6) for _ in grid])
     moved, info = sync.synchronise(p, SyncConfig())
     assert info["n_pairs"] == info["n_links"] == 15
@@ -85,34 +137,115 @@ def test_offsets_are_recovered(spark):
     assert np.abs(centre - centre.mean(0)).max() < 0.05
 
 
+def test_offsets_count_differences_in_a_disc(spark):
+    """Thirty differences around (0.02, 0.02), one at 1.4 bins along both axes from the peak's middle: in the square, not in
+    the disc."""
+    config = SyncConfig()
+    a = [(4.0 * k, 0.0) for k in range(31)]
+    b = [(x + 0.02 + 0.001 * (k % 7), 0.02 + 0.001 * (k % 5)) if k < 30 else (x + 0.04 + 1.4 * config.bin_m, 0.04 + 1.4 * config.bin_m) for k, (x, _) in enumerate(a)]
+    (o,) = sync.offsets(ground(spark, a + b, ["f0"] * 31 + ["f1"] * 31), config).collect()
+    assert o.votes == 30
+
+
 def test_density_plan():
     c, mode = dedup.plan_density(0.9, DedupConfig())
     assert mode == "dense" and c.eps_m == pytest.approx(0.405) and c.frame_nms_m == pytest.approx(0.2025)
     assert dedup.plan_density(2.0, DedupConfig())[1] == dedup.plan_density(None, DedupConfig())[1] == "normal"
 
 
-def test_components_both_ways(spark, monkeypatch):
+def test_components(spark):
     r = np.random.default_rng(2)
     e = r.integers(0, 400, (300, 2))
-    df = spark.createDataFrame([tuple(map(int, x)) for x in e], "a long, b long")
-    small = {x.node: x.root for x in graph.components(df).collect()}
-    monkeypatch.setattr(graph, "ONE_TASK", -1)
-    assert {x.node: x.root for x in graph.components(df).collect()} == small
+    got = {x.node: x.root for x in graph.components(spark.createDataFrame([tuple(map(int, x)) for x in e], "a long, b long")).collect()}
     keep = e[e[:, 0] != e[:, 1]]
-    assert small == dict(zip(*(v.tolist() for v in graph.roots(keep[:, 0], keep[:, 1])), strict=True))
-
-
-@pytest.mark.parametrize("config", [{}, {"min_samples": 3}, {"min_samples": 3, "drop_noise": True}, {"frame_exclusivity": False}, {"frame_nms_m": 0.0}, {"eps_m": 0.7, "split_gate_m": 0.4}])
-def test_one_task_equals_joins(spark, config):
-    r = np.random.default_rng(7)
-    places = [tuple(p) for p in np.round(r.random((400, 2)) * 25, 2)]
-    p = ground(spark, places, [f"f{k}" for k in r.integers(0, 9, 400)], None, list(np.round(r.random(400), 1)))
-    c = DedupConfig(**config)
-
-    def groups(df):
-        by = {}
-        for row in df.collect():
-            by.setdefault(row.cluster, set()).add(row.idx)
-        return by.pop(None, set()), sorted(map(sorted, by.values()))
-
-    assert groups(dedup.assign(p, c, True)) == groups(dedup.assign(p, c, False))
+    assert got == dict(zip(*(v.tolist() for v in graph.roots(keep[:, 0], keep[:, 1])), strict=True))
+
+
+def by_definition(places, eps, least, drop):
+    """DBSCAN over the matrix of distances."""
+    near = np.hypot(*(places[:, None] - places[None]).transpose(2, 0, 1)) <= eps
+    core, n = near.sum(1) >= least, len(places)
+    label = np.where(core, np.arange(n), n)
+    while True:
+        new = np.array([label[near[i] & core].min() if core[i] else n for i in range(n)])
+        if (new == label).all():
+            break
+        label = new
+    out = [int(label[i]) if core[i] else int(label[near[i] & core].min()) if (near[i] & core).any() else None if drop else i for i in range(n)]
+    return out
+
+
+@pytest.mark.parametrize("tile", [64.0, 5.0])
+@pytest.mark.parametrize(("least", "drop"), [(1, False), (3, False), (3, True)])
+def test_clusters_by_definition(spark, monkeypatch, least, drop, tile):
+    monkeypatch.setattr(dedup, "TILE_M", tile)
+    monkeypatch.setattr(dedup, "TILE_RADII", 2)
+    places = np.round(np.random.default_rng(7).random((400, 2)) * 25, 2)
+    p = ground(spark, [tuple(q) for q in places], ["f"] * 400)
+    got = {x.idx: x.cluster for x in dedup.dbscan(p, 1.0, least, drop).collect()}
+    assert [got[i] for i in range(400)] == by_definition(places, 1.0, least, drop)
+
+
+def test_quantile_between_ranks(spark):
+    v = np.random.default_rng(1).random(201).tolist()
+    df = spark.createDataFrame([(x,) for x in v], "v double")
+    for q in (0.0, 0.1, 0.5, 0.987, 1.0):
+        assert dedup.quantile(df, "v", q) == pytest.approx(np.quantile(v, q))
+    assert dedup.quantile(df.where("v > 2"), "v", 0.5) is None
+
+
+def slow_course(lat, lon, least, turn):
+    """The headings by looking ahead and back from each sample in turn."""
+    from fieldfold.functions.geo import bearing, haversine
+    from fieldfold.functions.mathx import NUMPY
+
+    n = len(lat)
+    far = lambda i, j: haversine(lat[i], lon[i], lat[j], lon[j], NUMPY) >= least
+    ahead = [next((j for j in range(i + 1, n) if far(i, j)), None) for i in range(n)]
+    back = [next((j for j in range(i - 1, -1, -1) if far(i, j)), None) for i in range(n)]
+    course = lambda i, j: None if i is None or j is None else float(bearing(lat[i], lon[i], lat[j], lon[j], NUMPY))
+    apart = lambda a, b: abs((a - b + 180) % 360 - 180) > turn
+    out = []
+    for i in range(n):
+        leaving, coming = course(i, ahead[i]), course(back[i], i)
+        before = course(back[back[i]], back[i]) if back[i] is not None else None
+        own = leaving is None or (coming is not None and before is not None and apart(leaving, coming) and not apart(before, coming))
+        out.append(coming if own else leaving)
+    return np.array([np.nan if x is None else x for x in out])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_courses_of_wandering_and_hovering_tracks(seed):
+    from fieldfold.operators.match import course_over_ground
+
+    r = np.random.default_rng(seed)
+    step = r.normal(0, 1, (300, 2)) * np.repeat(r.choice([1e-7, 5e-6, 3e-5], 30), 10)[:, None]
+    lat, lon = (-33.8 + step[:, 0].cumsum()), (151.2 + step[:, 1].cumsum())
+    assert np.allclose(course_over_ground(lat, lon, 2.0, 30.0), slow_course(lat, lon, 2.0, 30.0), equal_nan=True)
+
+
+def test_a_hovering_track_takes_its_time_in_proportion():
+    import time
+
+    from fieldfold.operators.match import course_over_ground
+
+    r = np.random.default_rng(0)
+    lat, lon = -33.8 + r.normal(0, 1e-7, 200_000), 151.2 + r.normal(0, 1e-7, 200_000)
+    began = time.time()
+    assert np.isnan(course_over_ground(lat, lon, 2.0, 30.0)).all()
+    assert time.time() - began < 30
+
+
+def test_matches_against_all_assignments(spark):
+    from itertools import permutations
+
+    from fieldfold.operators import score
+
+    r = np.random.default_rng(3)
+    for seed in range(3):
+        a, b = r.random((5, 2)) * 3, r.random((6, 2)) * 3
+        d = np.hypot(*(a[:, None] - b[None]).transpose(2, 0, 1))
+        best = max(((sum(d[i, j] <= 1.2 for i, j in enumerate(p)), -sum(d[i, j] for i, j in enumerate(p) if d[i, j] <= 1.2)) for p in permutations(range(6), 5)))
+        df = lambda v, name: spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(v)], f"{name} long, x double, y double")
+        got = score.match_points(df(a, "pid"), df(b, "tid"), 1.2).collect()
+        assert len({x.pid for x in got}) == len({x.tid for x in got}) == len(got) == best[0] and sum(x.distance for x in got) == pytest.approx(-best[1])
