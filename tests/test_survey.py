@@ -112,16 +112,19 @@ def test_options_are_checked():
 
 
 @pytest.mark.parametrize("name", ["standard", "harsh"])
-def test_registration_in_one_task_equals_joins(spark, name):
+def test_registration_by_small_tiles_equals_large_ones(spark, monkeypatch, name):
     from fieldfold.config import DedupConfig
-    from fieldfold.operators import align
+    from fieldfold.operators import align, dedup
     from fieldfold.operators.georef import georeference, survey_zone
     from fieldfold.operators.lineage import checkpoint
 
     d = simulate(spark, profile(name, n_animals=25, false_positives_per_frame=0.3))
     p = checkpoint(georeference(d.frames, d.detections, survey_zone(d.frames)).where("valid").drop("valid"))
     r = RegistrationConfig(iterations=2)
-    (a, ca, fa), (b, cb, fb) = (align.register(p, DedupConfig(), r, small) for small in (True, False))
+    a, ca, fa = align.register(p, DedupConfig(), r)
+    monkeypatch.setattr(dedup, "TILE_M", 10.0)
+    monkeypatch.setattr(dedup, "TILE_RADII", 3)
+    b, cb, fb = align.register(p, DedupConfig(), r)
     place = lambda df: [(x.idx, pytest.approx(x.x, abs=1e-5), pytest.approx(x.y, abs=1e-5)) for x in df.orderBy("idx").collect()]
     assert place(b) == [(x.idx, x.x, x.y) for x in a.orderBy("idx").collect()]
     groups = lambda df: sorted(sorted(g) for g in df.groupBy("cluster").agg(F.collect_list("idx").alias("g")).toPandas().g)
