@@ -2,7 +2,7 @@ import corpus_pipeline
 from fieldfold.llm import decontaminate, pii, queries, quality_rules
 from fieldfold.llm.common import documents, table
 
-from .test_simhash import slow_components
+from .test_simhash import alike, shingles
 from .test_text_ops import plain_spans, slow_report
 
 
@@ -21,7 +21,13 @@ def test_stages_against_brute_force(spark, sf_dir):
     rules = quality_rules.fit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
     kept = {r.doc_id for r in quality_rules.judge(documents(spark, sf_dir), rules).where("kept").collect()}
     assert {d for d, _ in after("quality_rules")} == kept
-    assert {d for d, _ in after("simhash")} == {c for _, _, c in slow_components(seen["simhash"])}
+    left, sets = {d for d, _ in after("simhash")}, {d: shingles(t) for d, t in seen["simhash"]}
+    ids = sorted(sets)
+    near = {d: [e for e in ids if e < d and alike(sets[d], sets[e]) >= 0.8] for d in ids}
+    copies = {d for d in ids if near[d]}
+    assert len(copies & left) <= 0.05 * len(copies) and len(copies) > 5
+    assert {d for d in copies if any(sets[d] == sets[e] for e in near[d])}.isdisjoint(left)
+    assert {d for d in ids if all(alike(sets[d], sets[e]) < 0.6 for e in ids if e != d)} <= left
     bench = [(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").collect()]
     assert {d for d, _ in after("decontamination")} == {r[0] for r in slow_report(seen["decontamination"], bench) if not r[-1]}
     masked, model = dict(after("pii")), pii.trained()
