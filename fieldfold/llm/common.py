@@ -83,9 +83,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def drop(df: DataFrame) -> None:
-    """Deletes a table made by materialise() that no later step reads."""
+    """Deletes what materialise() made of a table that no later step reads; files of anyone else stay."""
+    own = f"/fieldfold/{df.sparkSession.sparkContext.applicationId}/"
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/fieldfold/" in path:
+        if own in path:
             remove(df.sparkSession, path)
 
 

@@ -109,8 +109,8 @@ def window_spans(model: Tagger, codes: list[np.ndarray]) -> list[list[tuple[int,
     """start, end, kind, weight of the spans of each window (in its own positions)."""
     out: list[list] = [[] for _ in codes]
     order = sorted(range(len(codes)), key=lambda i: len(codes[i]))  # windows of like length together
-    for i in range(0, len(codes), 512):
-        here = order[i : i + 512]
+    for i in range(0, len(codes), 1024):
+        here = order[i : i + 1024]
         part = [codes[j] for j in here]
         x = np.full((len(part), max(map(len, part))), 9, np.uint8)
         for j, c in enumerate(part):

@@ -115,14 +115,15 @@ class Tagger:
         return (z - gold).mean() / n, {name: v / (b * n) for name, v in g.items()}
 
     def _emissions(self, x: np.ndarray) -> np.ndarray:
-        """scores() for decoding alone: one tanh a step for all gates, as sigmoid(z) = (1 + tanh(z / 2)) / 2."""
+        """scores() for decoding alone, as (time, tags, batch): one tanh a step for all gates, as
+        sigmoid(z) = (1 + tanh(z / 2)) / 2."""
         h, (n, b) = self.h, x.shape
         kind = self.p["wo"].dtype
         half = np.concatenate([np.full(3 * h, 0.5), np.ones(h)]).astype(kind)
-        out = np.empty((n, b, TAGS), kind)
-        out[:] = self.p["bo"]
+        out = np.empty((n, TAGS, b), kind)
+        out[:] = self.p["bo"][:, None]
         for d, steps, wo in (("f", range(n), self.p["wo"][:h]), ("b", range(n - 1, -1, -1), self.p["wo"][h:])):
-            table, wh = (self.p[f"wx{d}"] + self.p[f"b{d}"]) * half, self.p[f"wh{d}"] * half
+            table, wh, wo = (self.p[f"wx{d}"] + self.p[f"b{d}"]) * half, self.p[f"wh{d}"] * half, np.ascontiguousarray(wo.T)
             hs, cs = np.zeros((b, h), kind), np.zeros((b, h), kind)
             for t in steps:
                 z = table[x[t]]
@@ -135,36 +136,49 @@ class Tagger:
                 cs += z[:, h : 2 * h] * z[:, 3 * h :]
                 np.tanh(cs, out=hs)
                 hs *= z[:, 2 * h : 3 * h]
-                out[t] += hs @ wo
+                out[t] += wo @ hs.T
         return out
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best tags (time, batch) for classes, and the emission margins over outside.
 
-        Where every position's emissions favour outside by more than any two transitions can make good, the best path is
-        outside throughout, and isn't searched for."""
+        Where no span can gain anything over staying outside, whatever stands around it, the best path is outside
+        throughout, and isn't searched for."""
         every = self._emissions(x)
-        n, b, k = every.shape
+        n, k, b = every.shape
         tr, st = self._moves()
-        gain = max(0.0, float(tr.max() - tr[0, 0]), float(st.max() - st[0]))
-        open_ = np.flatnonzero(((every[:, :, 1:].max(2) - every[:, :, 0]) >= -2 * gain).any(0))
+        # how much a span of each kind that has come to a step gains at most over outside: by emissions, and by the best
+        # transition into each of its tags
+        into = (tr - tr[0, 0]).max(0).astype(every.dtype)[:, None]
+        start = (st - st[0]).astype(every.dtype)[:, None]
+        top = span = every[0, 1::2] - every[0, :1] + np.maximum(start, into)[1::2]
+        for t in range(1, n):
+            outside = every[t, :1]
+            span = span + (every[t, 2::2] - outside + into[2::2])
+            np.maximum(span, every[t, 1::2] - outside + into[1::2], out=span)
+            top = np.maximum(top, span)
+        back = max(0.0, float((tr[:, 0] - tr[0, 0]).max()))
+        open_ = np.flatnonzero((top >= -back).any(0))
         y, margin = np.zeros((n, b), np.int8), np.zeros((n, b), every.dtype)
         if not len(open_):
             return y, margin
-        e = every[:, open_]
-        b = len(open_)
-        best, back = st + e[0], np.zeros((n, b, k), np.int8)
+        e = every[:, :, open_]
+        best = np.empty_like(e)
+        best[0] = st[:, None] + e[0]
+        moves, via = tr.astype(e.dtype)[:, :, None], np.empty_like(e[0])
         for t in range(1, n):
-            s = best[:, :, None] + tr
-            back[t] = s.argmax(1)
-            best = s.max(1) + e[t]
-        path = np.zeros((n, b), np.int8)
-        path[-1] = best.argmax(1)
-        rows = np.arange(b)
-        for t in range(n - 1, 0, -1):
-            path[t - 1] = back[t, rows, path[t]]
+            now, last = best[t], best[t - 1]
+            np.add(last[0], moves[0], out=now)
+            for a in range(1, k):
+                np.add(last[a], moves[a], out=via)
+                np.maximum(now, via, out=now)
+            now += e[t]
+        path = np.zeros((n, len(open_)), np.int64)
+        path[-1] = best[-1].argmax(0)
+        for t in range(n - 1, 0, -1):  # the step before is worked out again along the path alone
+            path[t - 1] = (best[t - 1] + tr[:, path[t]]).argmax(0)
         y[:, open_] = path
-        margin[:, open_] = np.take_along_axis(e, path[:, :, None].astype(int), 2)[:, :, 0] - e[:, :, 0]
+        margin[:, open_] = np.take_along_axis(e, path[:, None, :], 1)[:, 0] - e[:, 0]
         return y, margin
 
 

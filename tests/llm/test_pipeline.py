@@ -1,6 +1,6 @@
 import corpus_pipeline
 from fieldfold.llm import decontaminate, pii, queries, quality_rules
-from fieldfold.llm.common import documents, table
+from fieldfold.llm.common import documents, materialise, table
 
 from .test_simhash import alike, shingles
 from .test_text_ops import plain_spans, slow_report
@@ -14,8 +14,6 @@ def test_stages_against_brute_force(spark, sf_dir):
         seen[name] = before
         if name != "packing":
             assert out.columns == docs.columns
-            from fieldfold.llm.common import materialise
-
             docs = materialise(out, name)
     after = lambda name: [t for k, t in zip(seen, list(seen.values())[1:], strict=False) if k == name][0]
     rules = quality_rules.fit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
@@ -40,3 +38,24 @@ def test_stages_against_brute_force(spark, sf_dir):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.where("start = 0").count() == out.select("doc_id").distinct().count() > 0
+
+
+def test_awkward_and_empty_tables_go_through_all_stages(spark, sf_dir):
+    from .helpers import awkward, empty
+
+    docs = awkward(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert stage(spark, empty(spark), sf_dir).count() == 0
+        if name == "packing":
+            pieces = out.collect()
+            assert sum(r.start == 0 for r in pieces) == docs.count()
+        else:
+            assert out.columns == docs.columns
+            before, after = [tuple(r) for r in docs.collect()], [tuple(r) for r in out.collect()]
+            if name == "pii":  # nothing personal here: all rows and columns as they were
+                assert sorted(map(str, before)) == sorted(map(str, after))
+            assert {str(r) for r in after} <= {str(r) for r in before}
+            texts = [r[1] for r in after]
+            assert all(texts) and (name == "quality_rules" or len(set(texts)) == len(texts))
+            docs = materialise(out, name)
