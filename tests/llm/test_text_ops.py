@@ -174,6 +174,38 @@ def test_tagger_on_held_out_spans():
     assert hit / total > 0.9, (hit, total, made)
 
 
+def test_tagger_alone_on_texts_of_the_table():
+    """Trained on generated texts only, it marks what the patterns find in the documents, of which it has seen none."""
+    import pyarrow.parquet as pq
+
+    m, hit, total = tagger.trained(), 0, 0
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist() if t and pii.base_spans(t)]
+    for t in texts:
+        c, found = tagger.classes(t), []
+        starts = pii.window_starts(len(c))
+        for at, spans in zip(starts, pii.window_spans(m, [c[a : a + pii.WIDTH] for a in starts]), strict=True):
+            found += [(a + at, b + at, k, w) for a, b, k, w in spans]
+        want = pii.base_spans(t)
+        hit, total = hit + len({(s, e, k) for s, k, e in want} & set(pii.reconcile(found))), total + len(want)
+    assert total > 50 and hit / total > 0.93, (hit, total)
+
+
+def test_decoding_without_the_search_where_no_span_gains():
+    m = tagger.trained()
+    x, _, _ = tagger.labelled(200, 96, 99)
+    tags, _ = m.decode(x)
+    e, (tr, st) = m.scores(x), m._moves()
+    best, back = st + e[0], []
+    for t in range(1, len(x)):
+        s = best[:, :, None] + tr
+        back.append(s.argmax(1))
+        best = s.max(1) + e[t]
+    path = [best.argmax(1)]
+    for step in back[::-1]:
+        path.append(step[np.arange(x.shape[1]), path[-1]])
+    assert (np.array(path[::-1]) == tags).all()
+
+
 def test_numbers_beside_each_other_are_found():
     cards, m = ("7536784127813050", "4845168114407329", "4550997810720808", "7536784127813050"), tagger.trained()
     for a, b in zip(cards, cards[1:], strict=False):
