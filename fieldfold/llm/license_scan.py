@@ -135,16 +135,17 @@ def scan(docs: DataFrame) -> DataFrame:
     whole = diagonals.where(F.col("exact") & (F.bit_count("mask") == F.col("t_words") - (K - 1))).groupBy("doc", "k").agg(
         F.count("*").alias("n_base"), F.min("diag").cast("long").alias("first_word"), F.max("diag").cast("long").alias("last_word"), F.sort_array(F.collect_set("label")).alias("base_labels"))
     spans = merged(diagonals).groupBy("doc", "k").agg(F.collect_list(F.struct("start", "end", "label", "t", "t_words", "low", "high")).alias("spans"))
-    found = whole.join(spans, ["doc", "k"], "full")
-    rows = docs.select("doc_id", *_key(), _words().alias("words")).join(found, ["doc", "k"], "left")
 
     def judged(words: Column) -> Column:
         scored = F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.label.alias("label"), _verified(words, s).alias("score")))
         return _best(F.sort_array(F.filter(scored, lambda s: s.score >= SCORE)))
 
+    # only texts with spans are cut into words again; texts themselves are joined, not their words
+    met = docs.select(*_key(), "text").join(spans, ["doc", "k"])
+    more = met.select("doc", "k", let(_words(), judged).alias("more")).dropDuplicates(["doc", "k"])
+    rows = docs.select("doc_id", *_key(), F.size(_words()).cast("long").alias("n_words")).join(whole.join(more, ["doc", "k"], "full"), ["doc", "k"], "left")
     none = F.array().cast("array<string>")
-    out = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
-                      F.coalesce("base_labels", none).alias("base"), F.when(F.col("spans").isNotNull(), judged(F.col("words"))).alias("more"))
+    out = rows.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", none).alias("base"), "more")
     every = F.sort_array(F.array_union(F.col("base"), F.coalesce("more.labels", none)))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("more.score", F.lit(0.0)))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"))
