@@ -342,7 +342,7 @@ def cl_pose_graph(spark, sf_dir):
     e = table(spark, sf_dir, "events").selectExpr("event_id", "cast(event_id % 100 as double) * 3.1D + cast(event_id % 7 as double) * 0.2D AS x", "cast(event_id DIV 100 as double) * 3.3D + cast(event_id % 11 as double) * 0.1D AS y")
     seen = e.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(3)))).selectExpr("event_id * 4 + f AS idx", "concat('f', f) AS frame_id", "x + f * 0.1D + ((event_id * 7919 + f * 104729) % 81 - 40) * 0.001D AS x", "y - f * f * 0.1D + ((event_id * 104729 + f * 7919) % 81 - 40) * 0.001D AS y", "f")
     moved, _ = sync.synchronise(seen, SyncConfig())
-    shift = seen.join(moved.select("idx", F.col("x").alias("mx"), F.col("y").alias("my")), "idx").groupBy("frame_id").agg(F.count("*").alias("n"), F.avg(F.col("x") - F.col("mx")).alias("dx"), F.avg(F.col("y") - F.col("my")).alias("dy"))
+    shift = seen.join(moved.select("idx", F.col("x").alias("mx"), F.col("y").alias("my")).hint("merge"), "idx").groupBy("frame_id").agg(F.count("*").alias("n"), F.avg(F.col("x") - F.col("mx")).alias("dx"), F.avg(F.col("y") - F.col("my")).alias("dy"))
     first = shift.where("frame_id = 'f0'").select(F.col("dx").alias("dx0"), F.col("dy").alias("dy0")).first()
     return shift.select("frame_id", "n", (F.round(F.col("dx") - first.dx0, 1) + 0.0).alias("dx"), (F.round(F.col("dy") - first.dy0, 1) + 0.0).alias("dy"))
 
