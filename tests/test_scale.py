@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldfold.operators import spatial
+from fieldfold.operators.lineage import checkpoint
 
 
 def test_exploded_points_are_never_broadcast(spark):
@@ -11,3 +12,12 @@ def test_exploded_points_are_never_broadcast(spark):
     assert pairs.count() == 49 + 48
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_rounds_of_joins_carry_no_estimate(spark):
+    """The digits of an estimate that is carried over double with each round."""
+    a = checkpoint(spark.range(20).select(F.col("id").alias("k"), F.col("id").alias("v")))
+    for _ in range(4):
+        a = checkpoint(a.join(a.select("k", F.col("v").alias("w")), "k").select("k", F.col("w").alias("v")))
+    assert int(str(a._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 2**64
+    assert sorted(map(tuple, a.collect())) == [(i, i) for i in range(20)]
