@@ -51,7 +51,7 @@ def _moved() -> tuple[Column, Column]:
 def estimate(points: DataFrame, clusters: DataFrame, config: RegistrationConfig, trim: float) -> DataFrame:
     """frame_id, c, a, b, u, v, model, n_matches, rotation_deg, scale, shift for every frame with points."""
     centres = points.groupBy("frame_id").agg(F.struct(F.avg("x").alias("x"), F.avg("y").alias("y")).alias("centre"))
-    rows = targets(points, clusters).join(centres, "frame_id")
+    rows = checkpoint(targets(points, clusters).join(centres, "frame_id"))
     first = _sums(rows, "centre")
     radius = F.sqrt((F.col("ss") - (F.col("sx") ** 2 + F.col("sy") ** 2) / F.col("n")) / F.col("n"))
     first = similarity(first.withColumn("wide", (F.col("n") >= config.min_matches) & (radius >= config.min_spread_m)), F.col("wide"))

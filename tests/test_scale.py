@@ -21,3 +21,12 @@ def test_rounds_of_joins_carry_no_estimate(spark):
         a = checkpoint(a.join(a.select("k", F.col("v").alias("w")), "k").select("k", F.col("w").alias("v")))
     assert int(str(a._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 2**64
     assert sorted(map(tuple, a.collect())) == [(i, i) for i in range(20)]
+
+
+def test_registration_of_animals_far_apart(spark, tmp_path):
+    """Twelve animals at either end of 100,000: turned about a common middle they would move by 9 m."""
+    from fieldfold.plans import registry
+
+    e = spark.range(72).select(F.explode(F.array("id", F.col("id") + 600_000)).alias("event_id"))
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    assert {r.frame_id: r.n for r in registry.cl_registration(spark, str(tmp_path)).collect()} == {f"f{k}": 24 for k in range(6)}
